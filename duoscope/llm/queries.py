@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duoscope.llm import decontamination, quality, secrets, simhash, toxicity
+from duoscope.llm import decontamination, pieces, quality, secrets, simhash, toxicity, warc
 from duoscope.runtime import read
 
 
@@ -12,6 +12,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_text(found["fp"]).alias("fingerprint"), "component_id")
@@ -22,6 +26,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
@@ -30,5 +38,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_simhash, op6_decontamination, op9_secret_scans, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_sentencepiece, op5_simhash, op6_decontamination, op8_warc, op9_secret_scans, op10_toxicity)}
+
+_WORD = "'[0-9a-z\\x{80}-\\x{10FFFF}]+'"
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM benchmark),
+j AS (SELECT item, least(len(w), 13) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda p: list_slice(w, p, p + least(len(w), 13) - 1))) AS win FROM i WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT k FROM j),
+p AS (SELECT r, k, unnest(range(1, len(w) - k + 2)) AS spot, w FROM d CROSS JOIN sizes WHERE len(w) >= k),
+g AS (SELECT r, k, spot, list_slice(w, spot, spot + k - 1) AS win FROM p),
+m AS (SELECT g.r, g.spot, g.k, j.item FROM g JOIN j ON g.k = j.k AND g.win = j.win),
+h AS (SELECT r, count(DISTINCT x) AS n FROM (SELECT r, unnest(range(spot, spot + k)) AS x FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h),
+digits AS (SELECT h, list_transform(range(0, 8), lambda k: list_sum(list_transform(range(0, 5), lambda c: CAST((strpos('0123456789abcdef', substr(h, CAST(5 * k + c + 1 AS BIGINT), 1)) - 1) * (CASE c WHEN 0 THEN 65536 WHEN 1 THEN 4096 WHEN 2 THEN 256 WHEN 3 THEN 16 ELSE 1 END) AS BIGINT)))) AS v FROM g),
+text AS (SELECT h, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([32768, 1024, 32, 1], lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(x AS BIGINT) // d) % 32 + 1 AS BIGINT), 1)), '')), '') AS b FROM digits)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, b AS payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = m THEN NULL ELSE m END AS refers_to
+FROM p JOIN g USING (h) JOIN text USING (h)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL}
