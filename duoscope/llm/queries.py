@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duoscope.llm import decontamination, pieces, quality, secrets, simhash, toxicity, warc
+from duoscope.llm import decontamination, lm, pieces, quality, secrets, simhash, toxicity, warc
 from duoscope.runtime import read
 
 
@@ -26,6 +26,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_lm(read(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -38,7 +42,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_sentencepiece, op5_simhash, op6_decontamination, op8_warc, op9_secret_scans, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_sentencepiece, op5_simhash, op6_decontamination, op7_lm_scoring, op8_warc, op9_secret_scans, op10_toxicity)}
 
 _WORD = "'[0-9a-z\\x{80}-\\x{10FFFF}]+'"
 
