@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duoscope.llm import decontamination, lm, pieces, quality, secrets, simhash, toxicity, warc
+from duoscope.llm import decontamination, lines, lm, pieces, quality, secrets, simhash, toxicity, warc
 from duoscope.runtime import read
 
 
@@ -12,6 +12,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(read(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_sentencepiece, op5_simhash, op6_decontamination, op7_lm_scoring, op8_warc, op9_secret_scans, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op4_sentencepiece, op5_simhash, op6_decontamination, op7_lm_scoring, op8_warc, op9_secret_scans, op10_toxicity)}
 
 _WORD = "'[0-9a-z\\x{80}-\\x{10FFFF}]+'"
 
@@ -61,6 +65,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGIN
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
+OP3_SQL = """
+WITH l AS (SELECT doc_id, p - 1 AS line_no, lower(lines[p]) AS l FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)) WHERE regexp_matches(lines[p], '[^\\x20\\x09-\\x0D]')),
+f AS (SELECT l, min((doc_id, line_no)) AS k FROM l GROUP BY l),
+w AS (SELECT k, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS w FROM f),
+t AS (SELECT DISTINCT k, unnest(CASE WHEN len(w) > 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM w),
+n AS (SELECT k, count(*) AS n FROM t GROUP BY k),
+o AS (SELECT a.k AS a, b.k AS b, count(*) AS o FROM t a JOIN t b ON a.s = b.s AND b.k < a.k GROUP BY ALL),
+gone AS (SELECT DISTINCT o.a AS k FROM o JOIN n x ON x.k = o.a JOIN n y ON y.k = o.b WHERE 5 * o.o >= 4 * (x.n + y.n - o.o)),
+stay AS (SELECT k FROM f WHERE k NOT IN (SELECT k FROM gone)),
+kept AS (SELECT k[1] AS doc_id, count(*) AS n, string_agg(CAST(k[2] AS VARCHAR), ',' ORDER BY k[2]) AS s FROM stay GROUP BY 1),
+lines AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_kept, coalesce(kept.s, '') AS kept_lines
+FROM documents d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h),
@@ -70,4 +89,4 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, b AS payload_digest, CASE WH
 FROM p JOIN g USING (h) JOIN text USING (h)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL}
