@@ -81,6 +81,17 @@ def scan(text: str | None, found: ahocorasick.Automaton) -> tuple[int, list[tupl
     return len(own), _merged(first, last), {i for m in matches for i in m[1][1]}
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, hit_share: tuple[int, int] = (1, 20), block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The documents, with all their columns, that are not contaminated. No shuffle; several blocks are scanned one after another."""
+    columns = [F.col(c) for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("id_"), F.col(text_col).cast("string").alias("text_"))
+    found = decontaminate(rows, benchmark, "id_", "text_", item_id, item_text, window, hit_share, block_chars)
+    return found.filter(~F.col("contaminated")).select("id_.*")
+
+
 _STATE = "n_words long, ranges array<int>, items array<string>"
 
 

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duoscope.llm import decontamination, lines, lm, pieces, quality, secrets, simhash, toxicity, warc
+from duoscope.llm import chat, decontamination, lines, lm, pieces, quality, secrets, simhash, toxicity, warc
 from duoscope.runtime import read
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.format_chats(read(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "role", "new_role", "action", "merged", F.array_join("inserted", ",").alias("inserted"), F.array_join("closing", ",").alias("closing"), "cost", "fragment")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -46,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op4_sentencepiece, op5_simhash, op6_decontamination, op7_lm_scoring, op8_warc, op9_secret_scans, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_line_dedup, op4_sentencepiece, op5_simhash, op6_decontamination, op7_lm_scoring, op8_warc, op9_secret_scans, op10_toxicity)}
 
 _WORD = "'[0-9a-z\\x{80}-\\x{10FFFF}]+'"
 
