@@ -34,9 +34,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there and a lost executor costs nothing."""
+    """Writes df to the shared folder and reads it again: lineage ends there and a lost executor costs nothing.
+
+    The driver's garbage is then collected, so that Spark deletes the shuffle files of what has ended.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
