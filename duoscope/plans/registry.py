@@ -23,3 +23,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
+
+
+def r4(x: str) -> str:
+    """SQL that rounds to four decimals for comparison. Amounts have four decimals, so their halves lie on rounding ties; the shift moves them off."""
+    return f"round(({x}) + 0.0000137, 4)"
