@@ -117,7 +117,8 @@ def equities(hands: list[tuple[int, int]], board: list[int]) -> np.ndarray:
     """Exact shares of the pot of each of several hands over all run-outs of a board of three to five cards; ties split."""
     used = {c for h in hands for c in h} | set(board)
     deck = [c for c in range(52) if c not in used]
-    runs = np.array(list(combinations(deck, 5 - len(board))), np.int64).reshape(-1, 5 - len(board))
+    missing = 5 - len(board)
+    runs = np.array(list(combinations(deck, missing)), np.int64) if missing else np.zeros((1, 0), np.int64)
     scores = np.stack([best(np.concatenate([np.tile([*h, *board], (len(runs), 1)), runs], axis=1)) for h in hands], axis=1)
     wins = scores == scores.max(axis=1, keepdims=True)
     return (wins / wins.sum(axis=1, keepdims=True)).mean(axis=0)

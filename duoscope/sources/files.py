@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from duoscope.runtime import fresh_path, shared_dir
 
 #: No empty text becomes null and no null becomes text by accident.
-_CSV = {"header": True, "nullValue": "\\N", "emptyValue": "", "escape": '"'}
+_CSV = {"header": True, "nullValue": "\\N", "escape": '"'}
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
