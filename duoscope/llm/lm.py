@@ -85,50 +85,48 @@ def tokens(raws: list[bytes], units: Units) -> Tokens:
 
 
 def contexts(own: Tokens) -> np.ndarray:
-    """Hashed features of each token's context: last token, last two, one before last."""
+    """Hashed features of each token's context: last token, last two, one before last. Mixed once for each distinct token where one decides."""
     n = len(own.ids)
-    h = own.hashes[own.ids]
+    h = np.concatenate([own.hashes, np.array(_START, np.uint64)])
+    m = len(own.hashes)
     starts = np.cumsum(own.counts) - own.counts
-    one, two = np.empty(n, np.uint64), np.empty(n, np.uint64)
-    one[1:], two[2:] = h[:-1], h[:-2]
-    one[starts] = _START[0]
-    two[starts] = _START[1]
-    second = (starts + 1)[own.counts > 1]
-    two[second] = _START[0]
-    return np.stack([mix64(one * _FEATURES[0]), mix64(one * _FEATURES[1] + mix64(two)), mix64(two * _FEATURES[2])], axis=1)
+    one, two = np.empty(n, np.int64), np.empty(n, np.int64)
+    one[1:], two[2:] = own.ids[:-1], own.ids[:-2]
+    one[starts] = m
+    two[starts] = m + 1
+    two[(starts + 1)[own.counts > 1]] = m
+    return np.stack([mix64(h * _FEATURES[0])[one], mix64((h * _FEATURES[1])[one] + mix64(h)[two]), mix64(h * _FEATURES[2])[two]], axis=1)
 
 
 def rows_of(features: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the two weight tables."""
-    a = (features >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
-    b = (mix64(features + (classes.astype(np.uint64) * _FEATURES[1])[:, None]) >> np.uint64(64 - UNIT_BITS)).astype(np.int64)
+    """Rows of the two weight tables, as 16-bit numbers, which sort fast."""
+    a = (features >> np.uint64(64 - CLASS_BITS)).astype(np.uint16)
+    b = (((features + (classes.astype(np.uint64) * _FEATURES[1])[:, None]) * _FEATURES[0]) >> np.uint64(64 - UNIT_BITS)).astype(np.uint16)
     return a, b
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def forward(w: Weights, a: np.ndarray, b: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x, y = w.class_bias + w.classes[a[:, 0]], w.unit_bias[classes] + w.units[b[:, 0]]
+def forward(w: Weights, a: np.ndarray, b: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shifted values of both softmaxes, their exponentials and sums of these."""
+    x, y = w.class_bias + np.take(w.classes, a[:, 0], axis=0), np.take(w.unit_bias, classes, axis=0)
+    y += np.take(w.units, b[:, 0], axis=0)
     for k in range(1, a.shape[1]):
-        x += w.classes[a[:, k]]
-        y += w.units[b[:, k]]
-    return log_softmax(x), log_softmax(y)
+        x += np.take(w.classes, a[:, k], axis=0)
+        y += np.take(w.units, b[:, k], axis=0)
+    x -= x.max(axis=1, keepdims=True)
+    y -= y.max(axis=1, keepdims=True)
+    return x, y, np.exp(x), np.exp(y)
 
 
 def unit_logs(w: Weights, own: Tokens) -> np.ndarray:
     """Natural log of P(class) P(unit | class) for each token."""
     out = np.empty(len(own.ids))
     features, unit = contexts(own), own.unit[own.ids]
-    for at in range(0, len(out), 4 * CHUNK):
-        s = slice(at, at + 4 * CHUNK)
+    for at in range(0, len(out), CHUNK):
+        s = slice(at, at + CHUNK)
         classes = unit[s] // SIZE
-        a, b = rows_of(features[s], classes)
-        x, y = forward(w, a, b, classes)
+        x, y, ex, ey = forward(w, *rows_of(features[s], classes), classes)
         i = np.arange(len(classes))
-        out[s] = x[i, classes].astype(np.float64) + y[i, unit[s] % SIZE]
+        out[s] = x[i, classes] + y[i, unit[s] % SIZE] - np.log(ex.sum(axis=1) * ey.sum(axis=1))
     return out
 
 
@@ -137,10 +135,12 @@ def descend(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.n
     for k in range(rows.shape[1]):
         order = np.argsort(rows[:, k], kind="stable")
         sorted_ = rows[order, k]
-        starts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-        at, g = sorted_[starts], np.add.reduceat(grad[order], starts, axis=0)
-        squares[at] += (g * g).mean(axis=1)
-        table[at] -= rate * g / np.sqrt(squares[at])[:, None]
+        last = np.flatnonzero(np.concatenate((sorted_[1:] != sorted_[:-1], [True])))
+        at, g = sorted_[last], np.cumsum(np.take(grad, order, axis=0), axis=0, dtype=np.float64).take(last, axis=0)
+        g[1:] -= g[:-1].copy()
+        g = g.astype(np.float32)
+        squares[at] += np.einsum("ij,ij->i", g, g) / SIZE
+        table[at] = np.take(table, at, axis=0) - g * (rate / np.sqrt(squares[at]))[:, None]
 
 
 class Learner:
@@ -157,7 +157,9 @@ class Learner:
             s = slice(at, at + CHUNK)
             classes, within = unit[s] // SIZE, unit[s] % SIZE
             a, b = rows_of(features[s], classes)
-            x, y = (np.exp(z) for z in forward(self.w, a, b, classes))
+            _, _, x, y = forward(self.w, a, b, classes)
+            x /= x.sum(axis=1, keepdims=True)
+            y /= y.sum(axis=1, keepdims=True)
             i = np.arange(len(classes))
             x[i, classes] -= 1
             y[i, within] -= 1
