@@ -9,7 +9,7 @@ line, by id and line number, has Jaccard similarity 4/5 or more with it; whether
 3. Similar lines share a token among their first n - ceil(4n/5) + 1. Only these are shuffled.
 4. Each class is first tried with the earliest class of each of its tokens, which settles most members of a group of near copies in linear
    time; what is not settled is tried with all earlier classes of its tokens. Pairs pass the length and the positional filter and
-   are then verified on whole token sets, which are made again for the classes in pairs only.
+   are then verified on whole token sets.
 
 Null texts have no lines; lines without words are no lines and always stay. Null ids are one id that sorts first. Rows that repeat an id share its
 lines: equal lines of equal number stay or go together. Long lines are taken whole. Other columns do not matter.
@@ -41,11 +41,14 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.filter(F.col("line").rlike(_WORD[:-1]))
 
 
-def with_shingles(df: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Adds shingles (hashes, with repeats) of column l."""
-    words = df.withColumn("w_", F.regexp_extract_all("l", F.lit(_WORD), F.lit(0)))
+def shingle_sets(df: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """Column l becomes s, the set of its shingles' hashes."""
+    l, odd = F.col("l"), F.col("l").startswith(" ") | F.col("l").endswith(" ")
+    for other in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | l.contains(other)
+    words = df.withColumn("w_", F.when(odd, F.regexp_extract_all(l, F.lit(_WORD), F.lit(0))).otherwise(F.split(l, " ")))  # plain splitting is cheaper
     several = F.transform(F.sequence(F.lit(0), F.size("w_") - k), lambda i: F.xxhash64(*[F.get("w_", i + j) for j in range(k)]))
-    return words.withColumn("shingles", F.when(F.size("w_") > k, several).otherwise(F.array(F.xxhash64(F.array_join("w_", " "))))).drop("w_")
+    return words.withColumn("s", F.when(F.size("w_") > k, F.array_distinct(several)).otherwise(F.array(F.xxhash64(F.array_join("w_", " "))))).drop("w_", "l")
 
 
 def bucket(h: Column) -> Column:
@@ -57,18 +60,17 @@ def rarity(classes: DataFrame) -> tuple[bytes, int]:
 
     The driver gets one row a bucket, whatever the input.
     """
-    counts = with_shingles(classes).select(F.explode_outer("shingles").alias("h")).groupBy(bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = classes.select(F.explode_outer("s").alias("h")).groupBy(bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
     letters = bytearray(b"0" * BUCKETS)
     for r in counts:
         letters[r["b"]] += r["n"].bit_length()
     return bytes(letters), (sum(r["n"] for r in counts) // COMMON_SHARE).bit_length()
 
 
-def with_tokens(df: DataFrame, levels: bytes) -> DataFrame:
-    """Adds tokens: distinct, ascending by rarity level and hash."""
+def by_rarity(s: str, levels: bytes) -> Column:
+    """The set as tokens, ascending by rarity level and hash."""
     level = lambda h: F.ascii(F.lit(levels).substr(bucket(h) + 1, F.lit(1)).cast("string")) - ord("0")
-    key = lambda h: F.shiftleft(level(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-    return with_shingles(df).withColumn("tokens", F.sort_array(F.array_distinct(F.transform("shingles", key)))).drop("shingles")
+    return F.sort_array(F.transform(s, lambda h: F.shiftleft(level(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
 def needed(n: Column) -> Column:
@@ -96,46 +98,52 @@ def marks(keys: DataFrame) -> Column:
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])).scalar()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, levels: bytes) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of pairs (later, earlier) of line keys, the later ones with a similar partner: (key)."""
     pairs = materialize(pairs.distinct(), "pairs")
-    keys = pairs.select(F.col("later").alias("key")).union(pairs.select(F.col("earlier").alias("key"))).distinct()
-    keys = materialize(keys, "keys")
+    keys = materialize(pairs.select(F.col("later").alias("key")).union(pairs.select(F.col("earlier").alias("key"))).distinct(), "keys")
     bits = marks(keys)
     h = F.xxhash64("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     hit = F.getbit(F.get(bits, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
-    maybe = classes.withColumn("key", F.struct("id_", "line_no")).filter(hit).select("key", "l")
-    sets = materialize(with_tokens(maybe.join(keys, maybe["key"].eqNullSafe(keys["key"]), "left_semi"), levels).select("key", "tokens"), "sets")
-    left = pairs.join(sets.select(F.col("key").alias("later_"), F.col("tokens").alias("a")), F.col("later").eqNullSafe(F.col("later_")))
-    both = left.join(sets.select(F.col("key").alias("earlier_"), F.col("tokens").alias("b")), F.col("earlier").eqNullSafe(F.col("earlier_")))
+    maybe = classes.withColumn("key", F.struct("id_", "line_no")).filter(hit).select("key", "s")
+    sets = materialize(maybe.join(keys, maybe["key"].eqNullSafe(keys["key"]), "left_semi"), "sets")
+    left = pairs.join(sets.select(F.col("key").alias("later_"), F.col("s").alias("a")), F.col("later").eqNullSafe(F.col("later_")))
+    both = left.join(sets.select(F.col("key").alias("earlier_"), F.col("s").alias("b")), F.col("earlier").eqNullSafe(F.col("earlier_")))
     same = F.size(F.array_intersect("a", "b"))
     return both.filter(same * (OVER + UNDER) >= (F.size("a") + F.size("b")) * OVER).select(F.col("later").alias("key")).distinct()
 
 
 def duplicate_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(classes: id_, line_no of the first line, l), (key: those of them that go)."""
+    """(classes: id_, line_no of the first line, s), (key: those of them that go)."""
     lines = split_lines(docs, id_col, text_col).select("id_", "line_no", F.lower("line").alias("l"))
-    classes = materialize(lines.groupBy("l").agg(F.min(F.struct("id_", "line_no")).alias("first")).select("first.id_", "first.line_no", "l"), "classes")
+    first = lines.groupBy("l").agg(F.min(F.struct("id_", "line_no")).alias("first"))
+    classes = materialize(shingle_sets(first.select("first.id_", "first.line_no", "l")), "classes")
     levels, common = rarity(classes)
-    size = with_tokens(classes, levels).withColumn("n", F.size("tokens"))
-    cut = F.slice("tokens", 1, F.col("n") - needed(F.col("n")) + 1)
-    prefix = size.select("id_", "line_no", "n", F.posexplode_outer(cut).alias("pos", "token")).select("token", F.struct("id_", "line_no", "n", "pos").alias("own"))
-    is_common = F.shiftrightunsigned("token", 57) >= common
-    shared = shared_tokens(prefix.filter(~is_common).repartition("token")).unionByName(shared_tokens(prefix.filter(is_common)))
-    shared = materialize(shared, "shared")
+    size = classes.withColumn("n", F.size("s"))
+    cut = F.slice(by_rarity("s", levels), F.lit(1), F.col("n") - needed(F.col("n")) + 1)
+    prefix = size.select("id_", "line_no", "n", F.posexplode_outer(cut).alias("pos", "token"))
+    shared = materialize(shared_tokens(prefix, common), "shared")
     others = shared.filter(~line_key("own").eqNullSafe(line_key("first")))
-    settled = materialize(verified(filtered(others, "own", "first").select(line_key("own").alias("later"), line_key("first").alias("earlier")), classes, levels), "settled")
-    open_ = others.filter("many > 2").join(settled, line_key("own").eqNullSafe(settled["key"]), "left_anti").select("token", F.col("own").alias("later"))
-    earlier = others.filter("many > 2").select("token", F.col("own").alias("earlier"))
-    pairs = open_.join(earlier, "token").filter(line_key("earlier") < line_key("later"))
-    rest = verified(filtered(pairs, "later", "earlier").select(line_key("later").alias("later"), line_key("earlier").alias("earlier")), classes, levels)
+    settled = materialize(verified(filtered(others, "own", "first").select(line_key("own").alias("later"), line_key("first").alias("earlier")), classes), "settled")
+    left = shared.filter("many > 2")
+    open_ = left.join(settled, line_key("own").eqNullSafe(settled["key"]), "left_anti").select("token", F.col("own").alias("later"))
+    pairs = open_.join(left.select("token", F.col("own").alias("earlier")), "token").filter(line_key("earlier") < line_key("later"))
+    rest = verified(filtered(pairs, "later", "earlier").select(line_key("later").alias("later"), line_key("earlier").alias("earlier")), classes)
     return classes, settled.unionByName(rest)
 
 
-def shared_tokens(prefix: DataFrame) -> DataFrame:
-    """The rows of tokens that several classes have, with the earliest of these: (token, own, first, many)."""
-    first = prefix.groupBy("token").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    return prefix.join(first, "token").select("token", "own", "first", "many")
+def shared_tokens(prefix: DataFrame, common: int) -> DataFrame:
+    """The rows of tokens that several classes have, with the earliest of these: (token, own, first, many).
+
+    The rows are dealt out once, by token. Tokens that may be common are dealt out in parts, each with an earliest class of its own, and all of
+    their rows go on to the comparison with all earlier ones.
+    """
+    is_common = F.shiftrightunsigned("token", 57) >= common
+    dealt = prefix.withColumn("part", F.when(is_common, F.xxhash64("id_", "line_no").bitwiseAND(F.lit(63)).cast("int")).otherwise(0)).repartition("token", "part")
+    own = F.struct("id_", "line_no", "n", "pos")
+    first = dealt.groupBy("token", "part").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("many")).filter((F.col("many") > 1) | is_common)
+    many = F.when(is_common, F.lit(1 << 40)).otherwise(F.col("many"))
+    return dealt.join(first, ["token", "part"]).select("token", own.alias("own"), "first", many.alias("many"))
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
