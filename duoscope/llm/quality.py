@@ -43,10 +43,8 @@ class Words(NamedTuple):
 def take_apart(raws: list[bytes]) -> Words:
     index: dict[bytes, int] = {}
     put = index.setdefault
-    parts = [[put(w, len(index)) for w in raw.split()] for raw in raws]
-    counts = np.array([len(p) for p in parts], np.int64)
-    ids = np.fromiter((x for p in parts for x in p), np.int64, int(counts.sum()))
-    return Words(list(index), ids, counts)
+    parts = [np.array([put(w, len(index)) for w in raw.split()], np.int64) for raw in raws]
+    return Words(list(index), np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array([len(p) for p in parts], np.int64))
 
 
 def repeated_words(words: Words, window: int = WINDOW) -> np.ndarray:
