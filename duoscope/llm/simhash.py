@@ -63,14 +63,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id_ {ddl(rows.schema['id_'].dataType)}, fp long")
 
 
-def chain_holds(x: Column, start: int, m: int, d: int) -> Column:
-    """Whether the chain of segments of x = a xor b from start keeps within its budget at each length."""
+def chain_holds(m: int, d: int) -> Column:
+    """Whether the chain of segments of x = a xor b from segment i (columns a, b, i) keeps within its budget at each length.
+
+    Turned so that the chain starts at bit 0, its first k segments differ in the low bits. The sums only grow, so each budget is tested at
+    the longest chain that it holds for.
+    """
     size = 64 // m
-    out, total = F.lit(True), F.lit(0)
-    for k in range(m):
-        at = (start + k) % m
-        total = total + F.bit_count(F.shiftrightunsigned(x, at * size).bitwiseAND(F.lit((1 << size) - 1)))
-        out = out & (total <= (k + 1) * d // m)
+    turned = F.expr(f"(shiftrightunsigned(a ^ b, i * {size}) | shiftleft(a ^ b, 64 - i * {size}))")
+    out = F.bit_count(turned) <= d
+    for budget in range(d):
+        k = max(k for k in range(1, m + 1) if k * d // m == budget)
+        out = out & (F.bit_count(turned.bitwiseAND(F.lit((1 << (k * size)) - 1))) <= budget)
     return out
 
 
@@ -87,9 +91,7 @@ def links(fps: DataFrame, m: int = SEGMENTS, d: int = DISTANCE, crowd: int = CRO
     shared = materialize(keys.join(counts, ["i", "key"]), "keys")
     left, right = shared.filter(F.col("n") <= crowd), shared.filter(F.col("n") <= crowd)
     pairs = left.select("i", "key", F.col("fp").alias("a")).join(right.select("i", "key", F.col("fp").alias("b")), ["i", "key"]).filter("a < b")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    holds = F.coalesce(*[F.when(F.col("i") == s, chain_holds(x, s, m, d)) for s in range(m)])
-    near = pairs.filter(holds).filter(F.bit_count(x) <= d).select("a", "b")
+    near = pairs.filter(chain_holds(m, d)).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= d).select("a", "b")
     return near.unionByName(crowded(shared.filter(F.col("n") > crowd).select("fp").distinct(), d))
 
 
