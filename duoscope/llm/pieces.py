@@ -19,6 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -131,25 +132,31 @@ class Vocabulary:
                 best = (start, unit[start:end], states[start][2] + self.scores[k])
         return best
 
-    def units(self, text: str) -> list[str]:
-        return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
+    def keys(self, text: str) -> list[str]:
+        """The marked words of a text, each without its first mark."""
+        if not text:
+            return []
+        parts = text.split(" ")
+        if "" in parts or MARK in text:  # runs of marks belong to the word after them
+            return [u[1:] for u in _UNIT.findall(MARK + text.replace(" ", MARK))]
+        return parts
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text."""
-        cut = [None if t is None else self.units(t) for t in texts]
-        new = sorted({u for c in cut if c for u in c} - self._known.keys())
+        cut = [None if t is None else self.keys(t) for t in texts]
+        every = set().union(*(c for c in cut if c))
+        new = every - self._known.keys()
         if new:
             self._chars += sum(map(len, new))
             if self._chars > REMEMBER_CHARS:
-                self._known, self._chars, self._joints, self._halves = {}, 0, {}, {}
-                new = sorted({u for c in cut if c for u in c})
+                self._known, self._joints, self._halves, new = {}, {}, {}, every
                 self._chars = sum(map(len, new))
-            self._known |= self.encode_sorted(new)
-        known = self._known
-        return [None if c is None else np.fromiter((i for u in c for i in known[u]), np.int32) for c in cut]
+            self._known |= {u[1:]: ids for u, ids in self.encode_sorted(sorted(MARK + k for k in new)).items()}
+        known = self._known.__getitem__
+        return [None if c is None else np.fromiter(chain.from_iterable(map(known, c)), np.int32) for c in cut]
 
     def decode(self, ids) -> str:
-        data = b"".join([self.text[i] for i in ids])
+        data = b"".join(map(self.text.__getitem__, ids))
         return data[data[:1] == b" " :].decode("utf-8", "replace")
 
 
