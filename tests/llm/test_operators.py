@@ -345,6 +345,36 @@ def test_lm_is_a_distribution():
     assert total == pytest.approx(1.0, abs=1e-5)
 
 
+@pytest.mark.parametrize("unit_words", [lm.UNIT_WORDS, 1000])
+def test_lm_rare_words_have_leaves_and_all_sums_to_one(spark, unit_words):
+    vocabulary = {f"w{i}".encode(): 1 + 5000 // (i + 1) for i in range(3000)} | {lm.END: 700}
+    units = lm.output_units(spark.createDataFrame([(w.decode(), c) for w, c in vocabulary.items()], "word string, c long"), unit_words)
+    words = [*vocabulary][:-1] + [f"unknown{i}".encode() for i in range(2000)]
+    own = lm.tokens([*words, b""], units)
+    by = dict(zip(own.unique, zip(own.unit.tolist(), own.leaf.tolist(), own.mass.tolist(), strict=True), strict=True))
+    alone = [by[w][:2] for w in vocabulary if by[w][2] == 0]
+    assert len(set(alone)) == len(alone) and len(alone) >= (len(vocabulary) if unit_words > 3000 else 991 + 0.9 * unit_words)
+    g = np.random.default_rng(1)
+    w = lm.start_weights(units)
+    w = w._replace(**{k: g.normal(size=getattr(w, k).shape).astype(np.float32) for k in ("classes", "units")}, tails=tuple(g.normal(size=x.shape).astype(np.float32) for x in w.tails))
+    p = dict(zip([*words, b""], np.exp(lm.unit_logs(w, own, units.tail))[np.cumsum(own.counts) - own.counts], strict=True))
+    total = sum(p[x] * (1 if by[x][2] == 0 else (c + 0.5) / by[x][2]) for x, c in vocabulary.items())
+    unknown = {by[x][1]: p[x] * 0.5 / by[x][2] for x in words[3000:]}  # each shared leaf has one unknown outcome
+    assert len(unknown) == units.tail.shared.size and total + sum(unknown.values()) == pytest.approx(1.0, abs=1e-4)
+
+
+def test_lm_shared_leaves_join_counts(spark):
+    df = documents(spark, [(i, " ".join(f"w{(i * 37 + k) % 1900}" for k in range(60))) for i in range(90)] + edge_texts())
+    a, b = (sorted(lm.score_lm(df, lookup_words=n, unit_words=300).collect(), key=lambda r: (str(r["doc_id"]), r["n_tokens"])) for n in (1 << 20, 0))
+    assert [r["score"] for r in a] == pytest.approx([r["score"] for r in b]) and [r["n_known"] for r in a] == [r["n_known"] for r in b]
+
+
+def test_lm_rounds_and_rows_follow_the_tokens():
+    units = lm.Units({}, np.full(lm.CLASSES * lm.SIZE, 1.0), 10, 5)
+    assert len(lm.start_weights(units._replace(total=1 << 22)).units) > len(lm.start_weights(units).units)
+    assert lm.rounds_for(10) == lm.ROUNDS < lm.rounds_for(1 << 26) < lm.rounds_for(1 << 32)
+
+
 # 8
 
 
