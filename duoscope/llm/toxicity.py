@@ -2,7 +2,7 @@
 
 A word's embedding is the mean of hashed rows for the word, its beginnings and its ends. Filters of widths 1, 2 and 3 run over the
 words, the greatest response of each filter over the whole text is kept (max pooling), and a logistic layer gives the score.
-It is trained on a bounded, hash-ordered sample of labelled rows; a fifth of the sample is left out and calibrates the score
+It is trained on a bounded, hash-ordered sample of labelled rows, where a text too long for what is left of its class's words is passed over; a fifth of the sample is left out and calibrates the score
 (Platt's method) and the threshold of each language. Neither labels, language, source nor id are inputs of a score.
 
 Null and empty texts are scored like a text without words. Repeated ids give a row each. Without labels of both classes every score is 0.
@@ -24,7 +24,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from duoscope.llm.common import bounded_labels, class_counts, crc_mod, ddl, labelled_texts, platt, slices, text_bytes
 from duoscope.llm.quality import Words, take_apart
 
-#: The bound of the training sample: rows of each class, and words in all.
+#: The bound of the training sample: rows of each class, and words in all, half of them for each class.
 PER_CLASS = 2500
 TRAIN_WORDS = 3_000_000
 FOLD = (5, 0)
@@ -115,15 +115,26 @@ def scores(model: Model | None, embed: Embedder | None, raws: list[bytes]) -> np
     return 1 / (1 + np.exp(-np.clip(model.slope * logits(model, embed, raws).astype(np.float64) + model.intercept, -30, 30)))
 
 
-def fit(rows: list[tuple[bytes, int, str | None]], share_of_one: float, epochs: int = 4, batch: int = 16, rate: float = 0.05, seed: int = 5) -> tuple[Model | None, dict[str, float]]:
+def within_words(rows: list[tuple[bytes, int, str | None]], train_words: int) -> list[tuple[bytes, int, str | None]]:
+    """The rows in order, each class up to half of the words. A text too long for what is left is passed over; the shortest of a class always stays."""
+    size = lambda r: len(r[0].split())
+    shortest = {c: min((i for i, r in enumerate(rows) if r[1] == c), key=lambda i: size(rows[i]), default=-1) for c in (0, 1)}
+    left = {c: train_words // 2 - (size(rows[i]) if i >= 0 else 0) for c, i in shortest.items()}
+    kept = []
+    for i, r in enumerate(rows):
+        if i != shortest[r[1]]:
+            n = size(r)
+            if n > left[r[1]]:
+                continue
+            left[r[1]] -= n
+        kept.append(r)
+    return kept
+
+
+def fit(rows: list[tuple[bytes, int, str | None]], share_of_one: float, epochs: int = 4, batch: int = 16, rate: float = 0.05, seed: int = 5, train_words: int = TRAIN_WORDS) -> tuple[Model | None, dict[str, float]]:
     """rows: text, class and language. Returns the model and the thresholds of languages."""
     rows = sorted(rows, key=lambda r: xxhash.xxh64_intdigest(r[0], seed))
-    total, kept = 0, []
-    for r in rows:
-        total += r[0].count(b" ") + 1
-        if total > TRAIN_WORDS and len(kept) > 100:
-            break
-        kept.append(r)
+    kept = within_words(rows, train_words)
     y = np.array([r[1] for r in kept], np.float32)
     if not 0 < y.sum() < len(y):
         return None, {}
@@ -243,19 +254,19 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(good[np.abs(good - 0.5).argmin()])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = PER_CLASS, fold: tuple[int, int] | None = FOLD) -> tuple[Model | None, dict[str, float]]:
-    """Fits on at most per_class labelled rows of each class outside the fold; these alone go to the driver."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = PER_CLASS, fold: tuple[int, int] | None = FOLD, train_words: int = TRAIN_WORDS) -> tuple[Model | None, dict[str, float]]:
+    """Fits on at most per_class labelled rows of each class outside the fold, and train_words / 2 words of each; these rows alone go to the driver."""
     picked = bounded_labels(labels, id_col, label_col, per_class, fold)
     found = labelled_texts(docs, picked, id_col, text_col, (lang_col,)).select("text_", "y_", f"{lang_col}_").toArrow()
     rows = [(text_bytes(t.as_py()), y, lang) for t, y, lang in zip(found.column(0), found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True)]
     found = None
     zero, one = class_counts(labels, id_col, label_col, fold)
-    return fit(rows, one / max(1, zero + one))
+    return fit(rows, one / max(1, zero + one), train_words=train_words)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = PER_CLASS, fold: tuple[int, int] = FOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = PER_CLASS, fold: tuple[int, int] = FOLD, train_words: int = TRAIN_WORDS) -> DataFrame:
     """Per row: id, held_out, score, predicted (score >= 0.5), threshold (of the row's language), toxic (score >= threshold)."""
-    model, thresholds = train(docs, labels, id_col, text_col, lang_col, label_col, per_class, fold)
+    model, thresholds = train(docs, labels, id_col, text_col, lang_col, label_col, per_class, fold, train_words)
     shared = docs.sparkSession.sparkContext.broadcast((model, thresholds))  # 2**16 x 16 floats
     rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"), F.col(lang_col).cast("string").alias("lang_"))
 
@@ -277,9 +288,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 MARK = "is_toxic_"
 
 
-def mark_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = PER_CLASS, fold: tuple[int, int] = FOLD) -> DataFrame:
+def mark_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = PER_CLASS, fold: tuple[int, int] = FOLD, train_words: int = TRAIN_WORDS) -> DataFrame:
     """The documents with all their columns and MARK, whether the score reaches the language's threshold. No shuffle."""
-    model, thresholds = train(docs, labels, id_col, text_col, lang_col, label_col, per_class, fold)
+    model, thresholds = train(docs, labels, id_col, text_col, lang_col, label_col, per_class, fold, train_words)
     shared = docs.sparkSession.sparkContext.broadcast((model, thresholds))
     schema = StructType([*docs.schema.fields, StructField(MARK, BooleanType())])
 

@@ -443,6 +443,22 @@ def test_toxicity_held_out_accuracy(spark, empty):
     assert toxicity.score_toxicity(empty, spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 
 
+def test_toxicity_long_text_does_not_end_the_sample(spark):
+    texts = [(i, prose(30, i) + (" zork" if i % 3 == 0 else "")) for i in range(600)]
+    labels = [(i, int(i % 3 == 0)) for i in range(600)]
+    first = sorted((xxhash.xxh64_intdigest(t.encode(), 5), i) for i, t in texts)[130]  # more than 100 texts come before the long one
+    long = next(x for k in range(10_000) if xxhash.xxh64_intdigest((x := f"start{k} " + "word " * 20_000).encode(), 5) < first[0])
+    rows = [(t.encode(), y, "en") for (_, t), (_, y) in zip(texts, labels, strict=True)]
+    model, limits = toxicity.fit([*rows, (long.encode(), 0, "en")], 1 / 3, train_words=40_000)
+    alone, same = toxicity.fit(list(rows), 1 / 3, train_words=40_000)
+    assert limits == same and "en" in limits and all(np.array_equal(a, b) for a, b in zip(model.kernels, alone.kernels, strict=True))
+    kept = toxicity.within_words(rows, 6_000)
+    assert {c: sum(len(t.split()) for t, y, _ in kept if y == c) for c in (0, 1)} == {0: 3_000, 1: 96 * 31}
+    docs = documents(spark, [*texts, (600, long)])
+    out = toxicity.score_toxicity(docs, spark.createDataFrame([*labels, (600, 0)], "doc_id long, toxic int"), train_words=40_000).collect()
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 3 == 0) for r in out if r["held_out"] and r["doc_id"] < 600]) > 0.9
+
+
 @pytest.mark.parametrize("run", [lambda d: pieces.round_trip(d), lambda d: secrets.scan_secrets(d), lambda d: lm.score_lm(d)])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
