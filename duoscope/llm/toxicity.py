@@ -25,8 +25,8 @@ from duoscope.llm.common import bounded_labels, class_counts, crc_mod, ddl, labe
 from duoscope.llm.quality import Words, take_apart
 
 #: The bound of the training sample: rows of each class, and words in all, half of them for each class.
-PER_CLASS = 2500
-TRAIN_WORDS = 3_000_000
+PER_CLASS = 4000
+TRAIN_WORDS = 6_000_000
 FOLD = (5, 0)
 BITS, DIM, FILTERS, WIDTHS = 16, 16, 16, (1, 2, 3)
 BEGINNINGS, ENDS = (3, 4, 5, 6, 7, 8, 9), (3, 5)

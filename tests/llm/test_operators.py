@@ -459,6 +459,10 @@ def test_toxicity_long_text_does_not_end_the_sample(spark):
     assert np.mean([r["predicted"] == int(r["doc_id"] % 3 == 0) for r in out if r["held_out"] and r["doc_id"] < 600]) > 0.9
 
 
+def test_toxicity_bounds_of_the_sample():
+    assert (toxicity.PER_CLASS, toxicity.TRAIN_WORDS) == (4000, 6_000_000)
+
+
 @pytest.mark.parametrize("run", [lambda d: pieces.round_trip(d), lambda d: secrets.scan_secrets(d), lambda d: lm.score_lm(d)])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
