@@ -48,7 +48,7 @@ def shingle_sets(df: DataFrame, k: int = SHINGLE) -> DataFrame:
         odd = odd | l.contains(other)
     words = df.withColumn("w_", F.when(odd, F.regexp_extract_all(l, F.lit(_WORD), F.lit(0))).otherwise(F.split(l, " ")))  # plain splitting is cheaper
     several = F.transform(F.sequence(F.lit(0), F.size("w_") - k), lambda i: F.xxhash64(*[F.get("w_", i + j) for j in range(k)]))
-    return words.withColumn("s", F.when(F.size("w_") > k, F.array_distinct(several)).otherwise(F.array(F.xxhash64(F.array_join("w_", " "))))).drop("w_", "l")
+    return words.withColumn("s", F.when(F.size("w_") >= k, F.array_distinct(several)).otherwise(F.array(F.xxhash64(F.array_join("w_", " "))))).drop("w_", "l")
 
 
 def bucket(h: Column) -> Column:

@@ -176,6 +176,13 @@ def test_line_dedup_matches_brute_force(spark, docs):
     assert 2 not in left and left[4] is None and left[5] == "" and left[1] == texts[0][1]
 
 
+def test_line_dedup_five_equal_words(spark):
+    texts = [(1, "* * * * *\na a a a\nx y z u v"), (2, "* * * * * *\na a a a a"), (3, "a a a a a a a\nX y z u v\n* * * *")]
+    out = {r["doc_id"]: r["kept_lines"] for r in lines.dedup_lines(documents(spark, texts)).collect()}
+    want = brute_lines(texts)
+    assert out == {i: want.get(i, "") for i, _ in texts} and out[2] == "1"
+
+
 def test_line_dedup_common_tokens_and_empty(spark, empty, monkeypatch):
     monkeypatch.setattr(lines, "COMMON_SHARE", 1 << 40)  # all tokens count as common
     base = prose(50, 4).split()
