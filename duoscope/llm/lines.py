@@ -1,44 +1,56 @@
 """Line dedup: an exact set-similarity join of lines, with DataFrame functions only.
 
 A line's tokens are the set of its five-word shingles (a line of fewer words: the whole sequence), of lower-cased words. A line goes if an earlier
-line, by id and line number, has Jaccard similarity 4/5 or more with it; whether that line itself stays does not matter.
+line has Jaccard similarity 4/5 or more with it; whether that line itself stays does not matter. Lines are ordered by id, then (for rows that repeat
+an id) by the text's digest, then by number in the text.
 
 1. Equal lines form classes that stand for their first line.
-2. Tokens are ordered by rarity: by the logarithm of the count of the token's bucket over all classes, then by hash. Any fixed order is exact; the
-   buckets are of a fixed number, so that the counts can be handed to all tasks.
-3. Similar lines share a token among their first n - ceil(4n/5) + 1. Only these are shuffled.
-4. Each class is first tried with the earliest class of each of its tokens, which settles most members of a group of near copies in linear
-   time; what is not settled is tried with all earlier classes of its tokens. Pairs pass the length and the positional filter and
-   are then verified on whole token sets.
-
-Null texts have no lines; lines without words are no lines and always stay. Null ids are one id that sorts first. Rows that repeat an id share its
-lines: equal lines of equal number stay or go together. Long lines are taken whole. Other columns do not matter.
+2. Tokens that few classes have need no order among themselves, so the first pass takes them by hash. Two lines with similarity 4/5 share a token
+   among the first n - ceil(4n/5) + 1 of each. Tokens of one class only are dropped by a bit set and a join with counts.
+3. Pairs are made where at most CROWD classes share a token. Classes with a token that more share are joined once more among themselves, with
+   tokens ordered by their exact rarity: first with the earliest class of each token, which settles most members of a group of near copies in linear
+   time, then, if not settled, with the other classes whose size and position in the token's list allow it.
+4. A pair passes the length filter and the positional filter at its first common token: no more can be shared than what follows there. Pairs that
+   pass are verified on whole token sets.
+
+Null texts have no lines; lines without words are no lines and always stay. Null ids are one id that sorts first. Rows that repeat an id are told
+apart by their texts; of rows that repeat id and text one is taken as the first, whichever, and the lines of the others go. Long lines are taken whole.
+Empty tables give empty results. Other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.runtime import materialize
+from duoscope.runtime import discard, materialize
 
 SHINGLE = 5
 #: Similarity as a fraction.
 OVER, UNDER = 4, 5
-BUCKETS = 1 << 14
-#: Tokens of a bucket with over this share of all tokens may be common; they are grouped with partial sums rather than dealt out as they are.
-COMMON_SHARE = 2048
+#: A token that more classes share is handled in the second pass.
+CROWD = 16
 FILTER_BITS = 24
+_SPACE = " \t\n\x0b\x0c\r"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def has_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(_SPACE)) != ""
+
+
+def tie(text_col: str) -> Column:
+    """Orders rows that repeat an id."""
+    return F.substring(F.md5(F.col(text_col).cast("string")), 1, 15)
+
+
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_, line_no, line): lines with a word.
+    """(id_, tie, line_no, l): lines with a word, lower-cased.
 
     Here and below the outer forms of explode keep Spark from filtering by the array's size, which would make the array twice.
     """
-    rows = docs.select(F.col(id_col).alias("id_"), F.posexplode_outer(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    return rows.filter(F.col("line").rlike(_WORD[:-1]))
+    rows = docs.select(F.col(id_col).alias("id_"), tie(text_col).alias("tie"), F.posexplode_outer(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
+    return rows.filter(has_word(F.col("line"))).select("id_", "tie", "line_no", F.lower("line").alias("l"))
 
 
 def shingle_sets(df: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -48,119 +60,165 @@ def shingle_sets(df: DataFrame, k: int = SHINGLE) -> DataFrame:
         odd = odd | l.contains(other)
     words = df.withColumn("w_", F.when(odd, F.regexp_extract_all(l, F.lit(_WORD), F.lit(0))).otherwise(F.split(l, " ")))  # plain splitting is cheaper
     several = F.transform(F.sequence(F.lit(0), F.size("w_") - k), lambda i: F.xxhash64(*[F.get("w_", i + j) for j in range(k)]))
-    return words.withColumn("s", F.when(F.size("w_") >= k, F.array_distinct(several)).otherwise(F.array(F.xxhash64(F.array_join("w_", " "))))).drop("w_", "l")
+    return words.withColumn("s", F.when(F.size("w_") >= k, F.array_distinct(several)).otherwise(F.array(F.xxhash64(F.array_join("w_", " "))))).drop("w_")
 
 
-def bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def needed(n: Column) -> Column:
+    """ceil(OVER n / UNDER)."""
+    return F.floor((n * OVER + (UNDER - 1)) / UNDER).cast("int")
 
 
-def rarity(classes: DataFrame) -> tuple[bytes, int]:
-    """For each bucket the logarithm of its count as a letter from "0" on, and the level from which tokens may be common.
+def prefix_size(n: Column) -> Column:
+    return n - needed(n) + 1
 
-    The driver gets one row a bucket, whatever the input.
-    """
-    counts = classes.select(F.explode_outer("s").alias("h")).groupBy(bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-    letters = bytearray(b"0" * BUCKETS)
-    for r in counts:
-        letters[r["b"]] += r["n"].bit_length()
-    return bytes(letters), (sum(r["n"] for r in counts) // COMMON_SHARE).bit_length()
 
+def may_match(a: str, b: str) -> Column:
+    """The length filter, and the positional filter for a pair that meets at its first common token."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    left = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
+    return (na * UNDER >= nb * OVER) & (nb * UNDER >= na * OVER) & (left * (OVER + UNDER) >= (na + nb) * OVER)
 
-def by_rarity(s: str, levels: bytes) -> Column:
-    """The set as tokens, ascending by rarity level and hash."""
-    level = lambda h: F.ascii(F.lit(levels).substr(bucket(h) + 1, F.lit(1)).cast("string")) - ord("0")
-    return F.sort_array(F.transform(s, lambda h: F.shiftleft(level(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
+def bit_of(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
 
-def needed(n: Column) -> Column:
-    """ceil(OVER n / UNDER)."""
-    return F.floor((n * OVER + (UNDER - 1)) / UNDER).cast("int")
 
+def marks(hashes: DataFrame) -> Column:
+    """A bit set of the hashes (h), of fixed size: a scalar column to filter by before a shuffle."""
+    words = hashes.select(bit_of(F.col("h")).alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("x"))
+    every = hashes.sparkSession.range(1 << (FILTER_BITS - 6)).select(F.col("id").cast("int").alias("i")).join(words, "i", "left").select("i", F.coalesce("x", F.lit(0).cast("long")).alias("x"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])).scalar()
 
-def filtered(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """The length filter, and the positional filter: what may still be shared from this token on."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    left = 1 + F.least(na - F.col(f"{a}.pos") - 1, nb - F.col(f"{b}.pos") - 1)
-    before = F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos"))
-    return pairs.filter((na * UNDER >= nb * OVER) & (nb * UNDER >= na * OVER) & ((left + before) * (OVER + UNDER) >= (na + nb) * OVER))
 
+def marked(bits: Column, h: Column) -> Column:
+    return F.getbit(F.get(bits, F.shiftright(bit_of(h), 6).cast("int")), bit_of(h).bitwiseAND(F.lit(63)).cast("int")) == 1
 
-def line_key(s: str) -> Column:
-    return F.struct(F.col(f"{s}.id_").alias("id_"), F.col(f"{s}.line_no").alias("line_no"))
 
+def line_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cls, id_, tie, line_no, n, cut): classes of equal lines with their first line, size of the token set and its first tokens by hash."""
+    sets = shingle_sets(split_lines(docs, id_col, text_col).withColumn("h1", F.xxhash64("l")).withColumn("h2", F.xxhash64(F.lit(1), "l")))
+    n = F.size("s")
+    rows = sets.select("h1", "h2", F.struct("id_", "tie", "line_no").alias("key"), n.alias("n"), F.slice(F.sort_array("s"), F.lit(1), prefix_size(n)).alias("cut"))
+    first = rows.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("cut").alias("cut"))
+    return materialize(first.select(F.monotonically_increasing_id().alias("cls"), "key.*", "n", "cut"), "classes")
 
-def marks(keys: DataFrame) -> Column:
-    """A bit set of the hashes of key (struct), of fixed size: a scalar column to filter by before a shuffle."""
-    h = F.xxhash64("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = keys.select(h.alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("x"))
-    every = keys.sparkSession.range(1 << (FILTER_BITS - 6)).select(F.col("id").cast("int").alias("i")).join(words, "i", "left").select("i", F.coalesce("x", F.lit(0).cast("long")).alias("x"))
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])).scalar()
+
+def shared_tokens(classes: DataFrame) -> DataFrame:
+    """(token, own, many): the first tokens that several classes have, with their classes. Counts are summed before the shuffle, so no token is hot."""
+    tokens = classes.select(F.explode_outer("cut").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    tokens = materialize(tokens, "tokens")
+    bits = marks(tokens.select(F.col("token").alias("h")))
+    prefix = classes.select(F.struct("cls", F.struct("id_", "tie", "line_no").alias("key"), "n").alias("c"), F.posexplode_outer("cut").alias("pos", "token"))
+    own = F.struct(F.col("c.cls").alias("cls"), F.col("c.key").alias("key"), F.col("c.n").alias("n"), "pos")
+    rows = prefix.filter(marked(bits, F.col("token"))).select("token", own.alias("own"))
+    shared = materialize(rows.join(tokens, "token"), "shared")
+    discard(tokens)
+    return shared
 
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (later, earlier) of line keys, the later ones with a similar partner: (key)."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    keys = materialize(pairs.select(F.col("later").alias("key")).union(pairs.select(F.col("earlier").alias("key"))).distinct(), "keys")
-    bits = marks(keys)
-    h = F.xxhash64("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    hit = F.getbit(F.get(bits, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
-    maybe = classes.withColumn("key", F.struct("id_", "line_no")).filter(hit).select("key", "s")
-    sets = materialize(maybe.join(keys, maybe["key"].eqNullSafe(keys["key"]), "left_semi"), "sets")
-    left = pairs.join(sets.select(F.col("key").alias("later_"), F.col("s").alias("a")), F.col("later").eqNullSafe(F.col("later_")))
-    both = left.join(sets.select(F.col("key").alias("earlier_"), F.col("s").alias("b")), F.col("earlier").eqNullSafe(F.col("earlier_")))
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs of own and other as (later, earlier) with each pair once."""
+    later = F.col("own.key") > F.col("other.key")
+    pick = lambda a, b: F.when(later, F.col(f"{a}.cls")).otherwise(F.col(f"{b}.cls"))
+    return pairs.select(pick("own", "other").alias("later"), pick("other", "own").alias("earlier")).distinct()
+
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(cls, key, crowded, n, s): whole token sets of the wanted classes (cls, key, crowded), from their first lines."""
+    wanted = materialize(wanted, "wanted")
+    bits = marks(wanted.select(F.xxhash64("key").alias("h")))
+    lines = split_lines(docs, id_col, text_col).select(F.struct("id_", "tie", "line_no").alias("key"), "l")  # structs are equal where nulls in them are
+    once = lines.filter(marked(bits, F.xxhash64("key"))).join(wanted, "key").groupBy("cls").agg(F.first("key").alias("key"), F.first("crowded").alias("crowded"), F.first("l").alias("l"))
+    sets = materialize(shingle_sets(once).select("cls", "key", "crowded", F.size("s").alias("n"), "s"), "sets")
+    discard(wanted)
+    return sets
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cls): the later ones of pairs (later, earlier) that are similar."""
+    left = pairs.join(sets.select(F.col("cls").alias("later"), F.col("s").alias("a")), "later")
+    both = left.join(sets.select(F.col("cls").alias("earlier"), F.col("s").alias("b")), "earlier")
     same = F.size(F.array_intersect("a", "b"))
-    return both.filter(same * (OVER + UNDER) >= (F.size("a") + F.size("b")) * OVER).select(F.col("later").alias("key")).distinct()
+    return both.filter(same * (OVER + UNDER) >= (F.size("a") + F.size("b")) * OVER).select(F.col("later").alias("cls")).distinct()
 
 
-def duplicate_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(classes: id_, line_no of the first line, s), (key: those of them that go)."""
-    lines = split_lines(docs, id_col, text_col).select("id_", "line_no", F.lower("line").alias("l"))
-    first = lines.groupBy("l").agg(F.min(F.struct("id_", "line_no")).alias("first"))
-    classes = materialize(shingle_sets(first.select("first.id_", "first.line_no", "l")), "classes")
-    levels, common = rarity(classes)
-    size = classes.withColumn("n", F.size("s"))
-    cut = F.slice(by_rarity("s", levels), F.lit(1), F.col("n") - needed(F.col("n")) + 1)
-    prefix = size.select("id_", "line_no", "n", F.posexplode_outer(cut).alias("pos", "token"))
-    shared = materialize(shared_tokens(prefix, common), "shared")
-    others = shared.filter(~line_key("own").eqNullSafe(line_key("first")))
-    settled = materialize(verified(filtered(others, "own", "first").select(line_key("own").alias("later"), line_key("first").alias("earlier")), classes), "settled")
-    left = shared.filter("many > 2")
-    open_ = left.join(settled, line_key("own").eqNullSafe(settled["key"]), "left_anti").select("token", F.col("own").alias("later"))
-    pairs = open_.join(left.select("token", F.col("own").alias("earlier")), "token").filter(line_key("earlier") < line_key("later"))
-    rest = verified(filtered(pairs, "later", "earlier").select(line_key("later").alias("later"), line_key("earlier").alias("earlier")), classes)
-    return classes, settled.unionByName(rest)
-
-
-def shared_tokens(prefix: DataFrame, common: int) -> DataFrame:
-    """The rows of tokens that several classes have, with the earliest of these: (token, own, first, many).
-
-    The rows are dealt out once, by token. Tokens that may be common are dealt out in parts, each with an earliest class of its own, and all of
-    their rows go on to the comparison with all earlier ones.
+def by_rarity(sets: DataFrame) -> DataFrame:
+    """(token, own): the first tokens of the crowded classes by exact count among these classes, without those that one class has."""
+    tokens = sets.filter("crowded").select("cls", F.explode("s").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    several = tokens.join(counts, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("t"))
+    rows = sets.filter("crowded").select("cls", "key", "n").join(several, "cls")
+    alone = F.col("n") - F.size("t")  # the tokens of this class only come first
+    cut = F.slice("t", F.lit(1), F.greatest(prefix_size(F.col("n")) - alone, F.lit(0)))
+    prefix = rows.select("cls", "key", "n", alone.alias("alone"), F.posexplode(cut).alias("at", "t"))
+    return materialize(prefix.select(F.col("t.token").alias("token"), F.struct("cls", "key", "n", (F.col("alone") + F.col("at")).alias("pos")).alias("own")), "rare")
+
+
+def crowded_pairs(rare: DataFrame, settled: DataFrame) -> DataFrame:
+    """(later, earlier) for the classes that are not settled. Of a pair the larger class, by size, looks for the smaller one.
+
+    The smaller can be met only where 8/9 of its tokens are left, in a band of sizes that a factor of 5/4 spans.
     """
-    is_common = F.shiftrightunsigned("token", 57) >= common
-    dealt = prefix.withColumn("part", F.when(is_common, F.xxhash64("id_", "line_no").bitwiseAND(F.lit(63)).cast("int")).otherwise(0)).repartition("token", "part")
-    own = F.struct("id_", "line_no", "n", "pos")
-    first = dealt.groupBy("token", "part").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("many")).filter((F.col("many") > 1) | is_common)
-    many = F.when(is_common, F.lit(1 << 40)).otherwise(F.col("many"))
-    return dealt.join(first, ["token", "part"]).select("token", own.alias("own"), "first", many.alias("many"))
+    n, left = F.col("own.n"), F.col("own.n") - F.col("own.pos")
+    band = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(UNDER / OVER)) + F.lit(1e-9)).cast("int")
+    rows = rare.join(settled.withColumn("done", F.lit(True)), rare["own"]["cls"] == settled["cls"], "left").select("token", "own", F.col("done").isNull().alias("open"))
+    index = rows.filter(left * (OVER + UNDER) >= n * (2 * OVER)).select("token", band(n).alias("band"), F.col("own").alias("other"), F.col("open").alias("other_open"))
+    probe = rows.select("token", F.explode(F.array(band(n), band(n) - 1)).alias("band"), "own", "open")
+    one_way = (F.col("other.n") < F.col("own.n")) | ((F.col("other.n") == F.col("own.n")) & (F.col("other.cls") < F.col("own.cls")))
+    later_open = F.when(F.col("own.key") > F.col("other.key"), F.col("open")).otherwise(F.col("other_open"))
+    same = (probe["token"] == index["token"]) & (probe["band"] == index["band"]) & one_way & may_match("own", "other") & later_open
+    return ordered(probe.join(index, same).select("own", "other"))
+
+
+def duplicate_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, cls of those that go), both written."""
+    classes = line_classes(docs, id_col, text_col)
+    shared = shared_tokens(classes)
+    few = shared.filter(F.col("many") <= CROWD)
+    met = few.join(few.select("token", F.col("own").alias("other")), "token").filter((F.col("own.cls") < F.col("other.cls")) & may_match("own", "other"))
+    keys = lambda side, crowded: met.select(F.col(f"{side}.cls").alias("cls"), F.col(f"{side}.key").alias("key"), F.lit(crowded).alias("crowded"))
+    crowd = shared.filter(F.col("many") > CROWD).select(F.col("own.cls").alias("cls"), F.col("own.key").alias("key"), F.lit(True).alias("crowded"))
+    met = materialize(met.select("own", "other").distinct(), "met")
+    wanted = keys("own", False).unionByName(keys("other", False)).unionByName(crowd).groupBy("cls").agg(F.first("key").alias("key"), F.max("crowded").alias("crowded"))
+    sets = sets_of(docs, id_col, text_col, wanted)
+    rare = by_rarity(sets)
+    first = rare.groupBy("token").agg(F.min(F.struct("own.key", "own.cls", "own.n", "own.pos")).alias("other"))
+    nearest = rare.join(first, "token").filter((F.col("own.cls") != F.col("other.cls")) & may_match("own", "other"))
+    settled = materialize(similar(ordered(met).unionByName(ordered(nearest)).distinct(), sets), "settled")
+    rest = materialize(similar(crowded_pairs(rare, settled), sets), "rest")
+    gone = materialize(settled.unionByName(rest), "gone")
+    for done in (shared, met, sets, rare, settled, rest):
+        discard(done)
+    return classes, gone
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_, kept: ascending numbers of the lines that stay), for ids with such lines; lines without words are not listed."""
+    """(key_: id and tie, kept_: ascending numbers of the lines that stay), for rows with such lines; lines without words are not listed. Written."""
     classes, gone = duplicate_classes(docs, id_col, text_col)
-    stay = classes.select(F.struct("id_", "line_no").alias("key")).join(gone.withColumnRenamed("key", "gone"), F.col("key").eqNullSafe(F.col("gone")), "left_anti")
-    return stay.groupBy(F.col("key.id_").alias("id_")).agg(F.sort_array(F.collect_list("key.line_no")).alias("kept"))
+    stay = classes.select("cls", "id_", "tie", "line_no").join(gone, "cls", "left_anti")
+    kept = materialize(stay.groupBy(F.struct("id_", "tie").alias("key_")).agg(F.sort_array(F.collect_list("line_no")).alias("kept_")), "kept")
+    discard(classes)
+    discard(gone)
+    return kept
+
+
+def with_kept(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """rows (with key_) and kept_, null for rows without lines that stay. Of rows that repeat id and text the one met first has them."""
+    numbered = rows.withColumn("place_", F.row_number().over(Window.partitionBy("key_").orderBy(F.lit(1))))
+    mine = F.when(F.col("place_") == 1, F.col("kept_"))
+    return numbered.join(kept, "key_", "left").withColumn("kept_", mine)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.struct(F.col(id_col).alias("id_"), tie(text_col).alias("tie")).alias("key_")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_lines (with words), n_kept, kept_lines (their numbers from 0, joined by commas)."""
-    has_word = lambda x: x.rlike(_WORD[:-1])
     n = F.coalesce(F.size(F.filter(F.split(F.col(text_col).cast("string"), "\n"), has_word)), F.lit(0))
-    rows = docs.select(F.col(id_col).alias(id_col), F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
-    kept = kept_lines(docs, id_col, text_col)
-    return rows.join(kept, rows[id_col].eqNullSafe(kept["id_"]), "left").select(
-        id_col, "n_lines", F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_kept"), F.coalesce(F.array_join(F.col("kept").cast("array<string>"), ","), F.lit("")).alias("kept_lines")
+    rows = docs.select(row_key(id_col, text_col), F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
+    return with_kept(rows, kept_lines(docs, id_col, text_col)).select(
+        F.col("key_.id_").alias(id_col), "n_lines", F.when(F.col("kept_").isNull(), 0).otherwise(F.size("kept_")).cast("long").alias("n_kept"), F.coalesce(F.array_join(F.col("kept_").cast("array<string>"), ","), F.lit("")).alias("kept_lines")
     )
 
 
@@ -170,12 +228,13 @@ def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Documents that had no such line before stay as they are. length_col, if there, is made anew.
     """
     kept = kept_lines(docs, id_col, text_col)
-    text = F.col(text_col).cast("string")
-    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.when(x.rlike(_WORD[:-1]) & ~F.array_contains("kept", i), F.lit(None)).otherwise(x))
-    had = F.coalesce(text.rlike(_WORD[:-1]), F.lit(False))
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["id_"]), "left").filter(~had | F.col("kept").isNotNull())
-    columns = {text_col: F.when(had, F.array_join(F.filter(numbered, lambda x: x.isNotNull()), "\n")).otherwise(text)}
-    out = joined.withColumns(columns)
+    text = F.col(f"row_.{text_col}").cast("string")
+    rows = docs.select(row_key(id_col, text_col), F.struct(*docs.columns).alias("row_"))  # no column that comes along can clash
+    stays = F.transform(F.split(text, "\n"), lambda x, i: F.when(has_word(x) & ~F.array_contains("kept_", i), F.lit(None)).otherwise(x))
+    had = F.coalesce(has_word(text), F.lit(False))
+    cut = F.when(had, F.array_join(F.filter(stays, lambda x: x.isNotNull()), "\n")).otherwise(text)
+    out = with_kept(rows, kept).filter(~had | F.col("kept_").isNotNull()).select("row_", cut.alias("cut_"))
+    made = {text_col: F.col("cut_").cast(docs.schema[text_col].dataType)}
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+        made[length_col] = F.length("cut_").cast(docs.schema[length_col].dataType)
+    return out.select(*[made.get(c, F.col("row_")[c]).alias(c) for c in docs.columns])

@@ -71,19 +71,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGIN
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
+#: Rows are ordered by id, then by their text's digest; r tells apart rows that repeat both.
 OP3_SQL = """
-WITH l AS (SELECT doc_id, p - 1 AS line_no, lower(lines[p]) AS l FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)) WHERE regexp_matches(lines[p], '[^\\x20\\x09-\\x0D]')),
-f AS (SELECT l, min((doc_id, line_no)) AS k FROM l GROUP BY l),
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, substr(md5(text), 1, 15)) AS r, doc_id, text FROM documents),
+l AS (SELECT r, p - 1 AS line_no, lower(lines[p]) AS l FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS p FROM (SELECT r, string_split(text, chr(10)) AS lines FROM docs)) WHERE regexp_matches(lines[p], '[^\\x20\\x09-\\x0D]')),
+f AS (SELECT l, min((r, line_no)) AS k FROM l GROUP BY l),
 w AS (SELECT k, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS w FROM f),
 t AS (SELECT DISTINCT k, unnest(CASE WHEN len(w) > 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM w),
 n AS (SELECT k, count(*) AS n FROM t GROUP BY k),
 o AS (SELECT a.k AS a, b.k AS b, count(*) AS o FROM t a JOIN t b ON a.s = b.s AND b.k < a.k GROUP BY ALL),
 gone AS (SELECT DISTINCT o.a AS k FROM o JOIN n x ON x.k = o.a JOIN n y ON y.k = o.b WHERE 5 * o.o >= 4 * (x.n + y.n - o.o)),
 stay AS (SELECT k FROM f WHERE k NOT IN (SELECT k FROM gone)),
-kept AS (SELECT k[1] AS doc_id, count(*) AS n, string_agg(CAST(k[2] AS VARCHAR), ',' ORDER BY k[2]) AS s FROM stay GROUP BY 1),
-lines AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
+kept AS (SELECT k[1] AS r, count(*) AS n, string_agg(CAST(k[2] AS VARCHAR), ',' ORDER BY k[2]) AS s FROM stay GROUP BY 1),
+lines AS (SELECT r, count(*) AS n FROM l GROUP BY r)
 SELECT d.doc_id, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_kept, coalesce(kept.s, '') AS kept_lines
-FROM documents d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+FROM docs d LEFT JOIN lines ON lines.r = d.r LEFT JOIN kept ON kept.r = d.r
 """
 
 OP8_SQL = """

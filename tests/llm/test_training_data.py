@@ -148,49 +148,76 @@ def test_quality_learns(spark):
 
 
 def brute_lines(texts):
+    """(id, kept lines) of each row: rows by id, then digest."""
+
     def shingles(line):
         w = re.findall(r"[^\x20\x09-\x0D]+", line.lower())
         return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
-    found = [((-1 if i is None else i, k), shingles(x), i) for i, t in texts if t is not None for k, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
+    order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5((x[1] or "").encode()).hexdigest()[:15]))
+    found = [((r, k), shingles(x)) for r, (_, t) in enumerate(order) if t is not None for k, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
     kept = {}
-    for at, s, i in found:
-        if not any(b < at and 5 * len(s & t) >= 4 * len(s | t) for b, t, _ in found):
-            kept.setdefault(i, set()).add(at[1])
-    return {i: ",".join(map(str, sorted(k))) for i, k in kept.items()}
+    for at, s in found:
+        if not any(b < at and 5 * len(s & t) >= 4 * len(s | t) for b, t in found):
+            kept.setdefault(at[0], []).append(at[1])
+    return sorted(((i, ",".join(map(str, sorted(kept.get(r, []))))) for r, (i, _) in enumerate(order)), key=repr)
+
 
+def kept_of(spark, texts):
+    return sorted(((r["doc_id"], r["kept_lines"]) for r in lines.dedup_lines(documents(spark, texts)).collect()), key=repr)
 
-def test_line_dedup_matches_brute_force(spark, docs):
+
+@pytest.mark.parametrize("crowd", [1, 3, 16])
+def test_line_dedup_matches_brute_force(spark, docs, monkeypatch, crowd):
+    monkeypatch.setattr(lines, "CROWD", crowd)
     near = []
     for k in range(30):
         w = prose(60, 77).split()
         w[k] = "changed"
         near.append((100 + k, "\n".join([" ".join(w), prose(8, k), "a b c", prose(40, k // 2)])))
-    texts = [(i, t) for i, t in edge_texts() if i != 9] + near
-    out = {r["doc_id"]: r["kept_lines"] for r in lines.dedup_lines(documents(spark, texts)).collect()}
-    want = brute_lines(texts)
-    assert out == {i: want.get(i, "") for i, _ in texts}
-    cut = lines.remove_duplicate_lines(documents(spark, texts))
+    texts = edge_texts() + near + near[:3] + [(101, "another\n" + near[7][1]), (None, "no id here"), (None, None)]
+    assert kept_of(spark, texts) == brute_lines(texts)
+    cut = lines.remove_duplicate_lines(documents(spark, edge_texts()))
     assert cut.columns == docs.columns
     left = {r["doc_id"]: r["text"] for r in cut.collect()}
-    assert 2 not in left and left[4] is None and left[5] == "" and left[1] == texts[0][1]
+    assert 2 not in left and left[4] is None and left[5] == "" and left[1] == edge_texts()[0][1]
+
+
+def test_line_dedup_keeps_other_lines_of_repeated_ids(spark):
+    base = prose(60, 3).split()
+    texts = [(1, " ".join(base)), (9, " ".join(["x", *base[1:]])), (9, "a wholly different line that nobody else has"), (9, "a wholly different line that nobody else has")]
+    assert kept_of(spark, texts) == [(1, "0"), (9, ""), (9, ""), (9, "0")]
+    left = [r["text"] for r in lines.remove_duplicate_lines(documents(spark, texts)).collect()]
+    assert sorted(left) == sorted([texts[0][1], texts[2][1]])
+
+
+def test_line_dedup_templates_are_not_quadratic(spark, monkeypatch):
+    """Lines that share a template, none similar to another: candidates stay in proportion to the lines."""
+    base = prose(30, 8).split()
+    texts = [(i, " ".join([*base[:15], f"w{i}", *base[16:]])) for i in range(20_000)]
+    seen = []
+    whole = lines.similar
+    monkeypatch.setattr(lines, "similar", lambda pairs, sets: seen.append(pairs.count()) or whole(pairs, sets))
+    assert {k for _, k in kept_of(spark, texts)} == {"0"}
+    assert sum(seen) <= 20_000
 
 
 def test_line_dedup_five_equal_words(spark):
     texts = [(1, "* * * * *\na a a a\nx y z u v"), (2, "* * * * * *\na a a a a"), (3, "a a a a a a a\nX y z u v\n* * * *")]
-    out = {r["doc_id"]: r["kept_lines"] for r in lines.dedup_lines(documents(spark, texts)).collect()}
-    want = brute_lines(texts)
-    assert out == {i: want.get(i, "") for i, _ in texts} and out[2] == "1"
-
-
-def test_line_dedup_common_tokens_and_empty(spark, empty, monkeypatch):
-    monkeypatch.setattr(lines, "COMMON_SHARE", 1 << 40)  # all tokens count as common
-    base = prose(50, 4).split()
-    texts = [(i, " ".join([*base[: 40 + i % 3], f"w{i}", *base[45:]])) for i in range(25)]
-    out = {r["doc_id"]: r["kept_lines"] for r in lines.dedup_lines(documents(spark, texts)).collect()}
-    want = brute_lines(texts)
-    assert out == {i: want.get(i, "") for i, _ in texts}
-    assert lines.dedup_lines(empty).count() == 0
+    out = kept_of(spark, texts)
+    assert out == brute_lines(texts) and (2, "1") in out
+
+
+def test_line_dedup_chains_and_empty(spark, empty):
+    """Near copies that drift away from the first, over the crowd."""
+    base, texts = prose(60, 4).split(), []
+    for i in range(60):
+        base = [*base[: i], f"w{i}", *base[i + 1 :]]
+        texts.append((i, " ".join(base)))
+    random.Random(1).shuffle(texts)
+    texts = [(k, t) for k, (_, t) in enumerate(texts)]
+    assert kept_of(spark, texts) == brute_lines(texts)
+    assert lines.dedup_lines(empty).count() == 0 and lines.remove_duplicate_lines(empty).count() == 0
 
 
 # 4
