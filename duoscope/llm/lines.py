@@ -5,12 +5,13 @@ line has Jaccard similarity 4/5 or more with it; whether that line itself stays
 an id) by the text's digest, then by number in the text.
 
 1. Equal lines form classes that stand for their first line.
-2. Tokens that few classes have need no order among themselves, so the first pass takes them by hash. Two lines with similarity 4/5 share a token
-   among the first n - ceil(4n/5) + 1 of each. Tokens of one class only are dropped by a bit set and a join with counts.
-3. Pairs are made where at most CROWD classes share a token. Classes with a token that more share are joined once more among themselves, with
-   tokens ordered by their exact rarity: first with the earliest class of each token, which settles most members of a group of near copies in linear
-   time, then, if not settled, with the other classes whose size and position in the token's list allow it.
-4. A pair passes the length filter and the positional filter at its first common token: no more can be shared than what follows there. Pairs that
+2. Two lines with similarity 4/5 share a token among the first n - ceil(4n/5) + 1 of each, whatever the fixed order of tokens; a first pass takes
+   them by hash and leaves out all classes without a token that another class has there.
+3. The tokens of the other classes are counted exactly. A class with more tokens of its own alone than a similar one can lack is left out.
+4. The tokens of what is left are ordered by rarity and cut to the prefix. Each class is first tried with the earliest class of each of its
+   tokens, which settles most members of a group of near copies in linear time; what is not settled is tried with the other classes whose size
+   and position in the token's list allow it.
+5. A pair passes the length filter and the positional filter at its first common token: no more can be shared than what follows there. Pairs that
    pass are verified on whole token sets.
 
 Null texts have no lines; lines without words are no lines and always stay. Null ids are one id that sorts first. Rows that repeat an id are told
@@ -28,8 +29,6 @@ from duoscope.runtime import discard, materialize
 SHINGLE = 5
 #: Similarity as a fraction.
 OVER, UNDER = 4, 5
-#: A token that more classes share is handled in the second pass.
-CROWD = 16
 FILTER_BITS = 24
 _SPACE = " \t\n\x0b\x0c\r"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -40,27 +39,27 @@ def has_word(line: Column) -> Column:
 
 
 def tie(text_col: str) -> Column:
-    """Orders rows that repeat an id."""
-    return F.substring(F.md5(F.col(text_col).cast("string")), 1, 15)
+    """Orders rows that repeat an id: the first 15 digits of the text's digest."""
+    return F.conv(F.substring(F.md5(F.col(text_col).cast("string")), 1, 15), 16, 10).cast("long")
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_, tie, line_no, l): lines with a word, lower-cased.
+    """(id_, tie, line_no, line): all lines.
 
     Here and below the outer forms of explode keep Spark from filtering by the array's size, which would make the array twice.
     """
-    rows = docs.select(F.col(id_col).alias("id_"), tie(text_col).alias("tie"), F.posexplode_outer(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    return rows.filter(has_word(F.col("line"))).select("id_", "tie", "line_no", F.lower("line").alias("l"))
+    rows = docs.select(F.col(id_col).alias("id_"), tie(text_col).alias("tie"), F.split(F.col(text_col).cast("string"), "\n").alias("lines"))  # once a text
+    return rows.select("id_", "tie", F.posexplode_outer("lines").alias("line_no", "line"))
 
 
 def shingle_sets(df: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Column l becomes s, the set of its shingles' hashes."""
-    l, odd = F.col("l"), F.col("l").startswith(" ") | F.col("l").endswith(" ")
-    for other in ("  ", "\t", "\x0b", "\x0c", "\r"):
-        odd = odd | l.contains(other)
-    words = df.withColumn("w_", F.when(odd, F.regexp_extract_all(l, F.lit(_WORD), F.lit(0))).otherwise(F.split(l, " ")))  # plain splitting is cheaper
+    """Column l becomes s, the set of its shingles' hashes: words are hashed once each, a shingle's hash is that of its words' hashes."""
+    l = F.col("l")
+    odd = l.contains("\t") | l.contains("\x0b") | l.contains("\x0c") | l.contains("\r")
+    plain = F.array_remove(F.split(l, " "), "")  # cheaper
+    words = df.withColumn("w_", F.when(odd, F.regexp_extract_all(l, F.lit(_WORD), F.lit(0))).otherwise(plain)).withColumn("w_", F.transform("w_", lambda x: F.xxhash64(x)))
     several = F.transform(F.sequence(F.lit(0), F.size("w_") - k), lambda i: F.xxhash64(*[F.get("w_", i + j) for j in range(k)]))
-    return words.withColumn("s", F.when(F.size("w_") >= k, F.array_distinct(several)).otherwise(F.array(F.xxhash64(F.array_join("w_", " "))))).drop("w_")
+    return words.withColumn("s", F.when(F.size("w_") >= k, F.array_distinct(several)).otherwise(F.array(F.xxhash64("w_")))).drop("w_")
 
 
 def needed(n: Column) -> Column:
@@ -95,25 +94,51 @@ def marked(bits: Column, h: Column) -> Column:
 
 
 def line_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cls, id_, tie, line_no, n, cut): classes of equal lines with their first line, size of the token set and its first tokens by hash."""
-    sets = shingle_sets(split_lines(docs, id_col, text_col).withColumn("h1", F.xxhash64("l")).withColumn("h2", F.xxhash64(F.lit(1), "l")))
-    n = F.size("s")
-    rows = sets.select("h1", "h2", F.struct("id_", "tie", "line_no").alias("key"), n.alias("n"), F.slice(F.sort_array("s"), F.lit(1), prefix_size(n)).alias("cut"))
-    first = rows.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("cut").alias("cut"))
-    return materialize(first.select(F.monotonically_increasing_id().alias("cls"), "key.*", "n", "cut"), "classes")
-
-
-def shared_tokens(classes: DataFrame) -> DataFrame:
-    """(token, own, many): the first tokens that several classes have, with their classes. Counts are summed before the shuffle, so no token is hot."""
-    tokens = classes.select(F.explode_outer("cut").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    tokens = materialize(tokens, "tokens")
+    """(cls, id_, tie, line_no, cut): classes of equal lines with their first line and its first tokens by hash."""
+    lines = split_lines(docs, id_col, text_col).filter(has_word(F.col("line")))
+    sets = shingle_sets(lines.select("id_", "tie", "line_no", F.lower("line").alias("l")).withColumn("h1", F.xxhash64("l")).withColumn("h2", F.xxhash64(F.lit(1), "l")))
+    cut = F.slice(F.sort_array("s"), F.lit(1), prefix_size(F.size("s")))
+    first = sets.select("h1", "h2", F.struct("id_", "tie", "line_no", cut.alias("cut")).alias("first")).groupBy("h1", "h2").agg(F.min("first").alias("first"))
+    return materialize(first.select(F.monotonically_increasing_id().alias("cls"), "first.*"), "classes")
+
+
+def several_times(tokens: DataFrame, name: str) -> DataFrame:
+    """(token, many) for tokens that occur twice or more. Counts are summed before the shuffle, so no token is hot."""
+    return materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), name)
+
+
+def met_classes(classes: DataFrame) -> DataFrame:
+    """(cls, key): the classes that share one of their first tokens with another."""
+    tokens = several_times(classes.select(F.explode_outer("cut").alias("token")), "tokens")
+    bits = marks(tokens.select(F.col("token").alias("h")))
+    rows = classes.select("cls", F.struct("id_", "tie", "line_no").alias("key"), F.explode_outer("cut").alias("token")).filter(marked(bits, F.col("token")))
+    met = materialize(rows.join(tokens.select("token"), "token").select("cls", "key").distinct(), "met")
+    discard(tokens)
+    return met
+
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(cls, key, n, s): whole token sets of the wanted classes (cls, key), from their first lines."""
+    bits = marks(wanted.select(F.xxhash64("key").alias("h")))
+    lines = split_lines(docs, id_col, text_col).select(F.struct("id_", "tie", "line_no").alias("key"), "line")  # structs are equal where nulls in them are
+    once = lines.filter(marked(bits, F.xxhash64("key"))).join(wanted, "key").groupBy("cls").agg(F.first("key").alias("key"), F.first("line").alias("line"))
+    return materialize(shingle_sets(once.withColumn("l", F.lower("line"))).select("cls", "key", F.size("s").alias("n"), "s"), "sets")
+
+
+def by_rarity(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets: those of the classes that may have a similar one; rare: (token, own), their first tokens by exact count, without those of one class only)."""
+    tokens = several_times(sets.select(F.explode("s").alias("token")), "counts")
     bits = marks(tokens.select(F.col("token").alias("h")))
-    prefix = classes.select(F.struct("cls", F.struct("id_", "tie", "line_no").alias("key"), "n").alias("c"), F.posexplode_outer("cut").alias("pos", "token"))
-    own = F.struct(F.col("c.cls").alias("cls"), F.col("c.key").alias("key"), F.col("c.n").alias("n"), "pos")
-    rows = prefix.filter(marked(bits, F.col("token"))).select("token", own.alias("own"))
-    shared = materialize(rows.join(tokens, "token"), "shared")
+    common = sets.select("cls", "n", F.explode("s").alias("token")).filter(marked(bits, F.col("token"))).groupBy("cls", "n").agg(F.count(F.lit(1)).alias("c"))
+    near = common.filter(F.col("n") - F.col("c") < prefix_size(F.col("n"))).select("cls")
+    left = materialize(sets.join(near, "cls", "left_semi"), "left")
+    several = left.select("cls", F.explode("s").alias("token")).join(tokens, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("t"))
+    alone = F.col("n") - F.size("t")  # the tokens of this class only come first
+    cut = F.slice("t", F.lit(1), F.greatest(prefix_size(F.col("n")) - alone, F.lit(0)))
+    prefix = left.select("cls", "key", "n").join(several, "cls").select("cls", "key", "n", alone.alias("alone"), F.posexplode(cut).alias("at", "t"))
+    rare = materialize(prefix.select(F.col("t.token").alias("token"), F.struct("cls", "key", "n", (F.col("alone") + F.col("at")).alias("pos")).alias("own")), "rare")
     discard(tokens)
-    return shared
+    return left, rare
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -123,17 +148,6 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(pick("own", "other").alias("later"), pick("other", "own").alias("earlier")).distinct()
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(cls, key, crowded, n, s): whole token sets of the wanted classes (cls, key, crowded), from their first lines."""
-    wanted = materialize(wanted, "wanted")
-    bits = marks(wanted.select(F.xxhash64("key").alias("h")))
-    lines = split_lines(docs, id_col, text_col).select(F.struct("id_", "tie", "line_no").alias("key"), "l")  # structs are equal where nulls in them are
-    once = lines.filter(marked(bits, F.xxhash64("key"))).join(wanted, "key").groupBy("cls").agg(F.first("key").alias("key"), F.first("crowded").alias("crowded"), F.first("l").alias("l"))
-    sets = materialize(shingle_sets(once).select("cls", "key", "crowded", F.size("s").alias("n"), "s"), "sets")
-    discard(wanted)
-    return sets
-
-
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(cls): the later ones of pairs (later, earlier) that are similar."""
     left = pairs.join(sets.select(F.col("cls").alias("later"), F.col("s").alias("a")), "later")
@@ -142,19 +156,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(same * (OVER + UNDER) >= (F.size("a") + F.size("b")) * OVER).select(F.col("later").alias("cls")).distinct()
 
 
-def by_rarity(sets: DataFrame) -> DataFrame:
-    """(token, own): the first tokens of the crowded classes by exact count among these classes, without those that one class has."""
-    tokens = sets.filter("crowded").select("cls", F.explode("s").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    several = tokens.join(counts, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("t"))
-    rows = sets.filter("crowded").select("cls", "key", "n").join(several, "cls")
-    alone = F.col("n") - F.size("t")  # the tokens of this class only come first
-    cut = F.slice("t", F.lit(1), F.greatest(prefix_size(F.col("n")) - alone, F.lit(0)))
-    prefix = rows.select("cls", "key", "n", alone.alias("alone"), F.posexplode(cut).alias("at", "t"))
-    return materialize(prefix.select(F.col("t.token").alias("token"), F.struct("cls", "key", "n", (F.col("alone") + F.col("at")).alias("pos")).alias("own")), "rare")
-
-
-def crowded_pairs(rare: DataFrame, settled: DataFrame) -> DataFrame:
+def other_pairs(rare: DataFrame, settled: DataFrame) -> DataFrame:
     """(later, earlier) for the classes that are not settled. Of a pair the larger class, by size, looks for the smaller one.
 
     The smaller can be met only where 8/9 of its tokens are left, in a band of sizes that a factor of 5/4 spans.
@@ -173,21 +175,17 @@ def crowded_pairs(rare: DataFrame, settled: DataFrame) -> DataFrame:
 def duplicate_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(classes, cls of those that go), both written."""
     classes = line_classes(docs, id_col, text_col)
-    shared = shared_tokens(classes)
-    few = shared.filter(F.col("many") <= CROWD)
-    met = few.join(few.select("token", F.col("own").alias("other")), "token").filter((F.col("own.cls") < F.col("other.cls")) & may_match("own", "other"))
-    keys = lambda side, crowded: met.select(F.col(f"{side}.cls").alias("cls"), F.col(f"{side}.key").alias("key"), F.lit(crowded).alias("crowded"))
-    crowd = shared.filter(F.col("many") > CROWD).select(F.col("own.cls").alias("cls"), F.col("own.key").alias("key"), F.lit(True).alias("crowded"))
-    met = materialize(met.select("own", "other").distinct(), "met")
-    wanted = keys("own", False).unionByName(keys("other", False)).unionByName(crowd).groupBy("cls").agg(F.first("key").alias("key"), F.max("crowded").alias("crowded"))
-    sets = sets_of(docs, id_col, text_col, wanted)
-    rare = by_rarity(sets)
+    met = met_classes(classes)
+    sets = sets_of(docs, id_col, text_col, met)
+    discard(met)
+    left, rare = by_rarity(sets)
+    discard(sets)
     first = rare.groupBy("token").agg(F.min(F.struct("own.key", "own.cls", "own.n", "own.pos")).alias("other"))
     nearest = rare.join(first, "token").filter((F.col("own.cls") != F.col("other.cls")) & may_match("own", "other"))
-    settled = materialize(similar(ordered(met).unionByName(ordered(nearest)).distinct(), sets), "settled")
-    rest = materialize(similar(crowded_pairs(rare, settled), sets), "rest")
+    settled = materialize(similar(ordered(nearest), left), "settled")
+    rest = materialize(similar(other_pairs(rare, settled), left), "rest")
     gone = materialize(settled.unionByName(rest), "gone")
-    for done in (shared, met, sets, rare, settled, rest):
+    for done in (left, rare, settled, rest):
         discard(done)
     return classes, gone
 
