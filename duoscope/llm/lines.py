@@ -5,8 +5,8 @@ line has Jaccard similarity 4/5 or more with it; whether that line itself stays
 an id) by the text's digest, then by number in the text.
 
 1. Equal lines form classes that stand for their first line.
-2. Two lines with similarity 4/5 share a token among the first n - ceil(4n/5) + 1 of each, whatever the fixed order of tokens; a first pass takes
-   them by hash and leaves out all classes without a token that another class has there.
+2. Two lines with similarity 4/5 share a token among the first n - ceil(4n/5) + 1 of each, whatever the fixed order of tokens, and k tokens (or
+   all that they must share) among k - 1 more; a first pass takes them by hash and leaves out classes with fewer tokens that others have there.
 3. The tokens of the other classes are counted exactly. A class with more tokens of its own alone than a similar one can lack is left out.
 4. The tokens of what is left are ordered by rarity and cut to the prefix. Each class is first tried with the earliest class of each of its
    tokens, which settles most members of a group of near copies in linear time; what is not settled is tried with the other classes whose size
@@ -29,6 +29,8 @@ from duoscope.runtime import discard, materialize
 SHINGLE = 5
 #: Similarity as a fraction.
 OVER, UNDER = 4, 5
+#: Tokens that a pair must share in the first pass.
+MEET = 4
 FILTER_BITS = 24
 _SPACE = " \t\n\x0b\x0c\r"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -94,11 +96,12 @@ def marked(bits: Column, h: Column) -> Column:
 
 
 def line_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cls, id_, tie, line_no, cut): classes of equal lines with their first line and its first tokens by hash."""
+    """(cls, id_, tie, line_no, n, cut): classes of equal lines with their first line, the size of its token set and its first tokens by hash."""
     lines = split_lines(docs, id_col, text_col).filter(has_word(F.col("line")))
     sets = shingle_sets(lines.select("id_", "tie", "line_no", F.lower("line").alias("l")).withColumn("h1", F.xxhash64("l")).withColumn("h2", F.xxhash64(F.lit(1), "l")))
-    cut = F.slice(F.sort_array("s"), F.lit(1), prefix_size(F.size("s")))
-    first = sets.select("h1", "h2", F.struct("id_", "tie", "line_no", cut.alias("cut")).alias("first")).groupBy("h1", "h2").agg(F.min("first").alias("first"))
+    n = F.size("s")
+    cut = F.slice(F.sort_array("s"), F.lit(1), prefix_size(n) + (MEET - 1))
+    first = sets.select("h1", "h2", F.struct("id_", "tie", "line_no", n.alias("n"), cut.alias("cut")).alias("first")).groupBy("h1", "h2").agg(F.min("first").alias("first"))
     return materialize(first.select(F.monotonically_increasing_id().alias("cls"), "first.*"), "classes")
 
 
@@ -108,11 +111,13 @@ def several_times(tokens: DataFrame, name: str) -> DataFrame:
 
 
 def met_classes(classes: DataFrame) -> DataFrame:
-    """(cls, key): the classes that share one of their first tokens with another."""
+    """(cls, key): the classes of which others have enough of the first tokens."""
     tokens = several_times(classes.select(F.explode_outer("cut").alias("token")), "tokens")
     bits = marks(tokens.select(F.col("token").alias("h")))
-    rows = classes.select("cls", F.struct("id_", "tie", "line_no").alias("key"), F.explode_outer("cut").alias("token")).filter(marked(bits, F.col("token")))
-    met = materialize(rows.join(tokens.select("token"), "token").select("cls", "key").distinct(), "met")
+    enough = F.least(F.lit(MEET), needed(F.col("n")))
+    rows = classes.select("cls", enough.alias("enough"), F.explode_outer("cut").alias("token")).filter(marked(bits, F.col("token")))
+    rows = rows.join(tokens.select("token"), "token").groupBy("cls", "enough").agg(F.count(F.lit(1)).alias("c")).filter("c >= enough").select("cls")
+    met = materialize(classes.select("cls", F.struct("id_", "tie", "line_no").alias("key")).join(rows, "cls"), "met")
     discard(tokens)
     return met
 
