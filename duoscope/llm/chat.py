@@ -11,13 +11,15 @@ part its states at both ends. Then each partition repairs and renders its rows.
 
 The result has one row a turn: the rendered text of a conversation is that of its rows' fragments, in order.
 
-Null texts count as empty. Roles are trimmed, lower-cased and mapped by alias; null and unknown roles are relabelled. Null conversation ids are one conversation.
-Null turns come first. Rows equal in conversation, turn, role and text count once; other rows of equal turn are ordered by role and text. Other columns are ignored.
+Null texts count as empty; very long ones are taken whole. Roles are trimmed, lower-cased and mapped by alias; null and unknown roles are relabelled. Null
+conversation ids are one conversation. Null turns come first. Rows of equal turn are ordered by role and text; rows that repeat all four are turns of
+their own, and which is which does not matter. An empty table gives an empty one. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -39,6 +41,9 @@ PATHS: dict[tuple[int, int], tuple[str, ...]] = {
 }
 ENDS: dict[int, tuple[str, ...]] = {0: (), 1: ("user", "assistant"), 2: ("assistant",), 3: ()}
 SHIFT = 64
+#: Bytes of text in a part, about; a worker holds one conversation of a part at a time.
+PART_BYTES = 32 << 20
+KEYS = ("conv", "turn", "role", "text", "place")
 NEVER = 1 << 200
 
 
@@ -52,10 +57,9 @@ class Step(NamedTuple):
     cost: int
 
 
-def steps(role: str | None, turn: object, text: str) -> list[Step]:
-    """All legal ways. The low bits of a cost are a hash of the turn and the way: sums of them break ties alike wherever they are made."""
+def steps(role: str | None, seed: int) -> list[Step]:
+    """All legal ways. The low bits of a cost are a hash of the turn (seed) and the way: sums of them break ties alike wherever they are made."""
     own = ALIASES.get((role or "").strip().lower())
-    seed = xxhash.xxh64_intdigest(f"{turn}\0{role}\0{text}".encode("utf-8", "replace"))
     out = []
     for before in range(4):
         for after in (1, 2, 3):
@@ -93,8 +97,8 @@ def decode(turns: list[tuple], before: int, after: int) -> list[Step]:
     costs = [NEVER] * 4
     costs[before] = 0
     trail = []
-    for _, role, turn, text in turns:
-        ways, best = steps(role, turn, text), [None] * 4
+    for _, role, seed, *_ in turns:
+        ways, best = steps(role, seed), [None] * 4
         out = [NEVER] * 4
         for w in ways:
             c = costs[w.before] + w.cost
@@ -110,15 +114,15 @@ def decode(turns: list[tuple], before: int, after: int) -> list[Step]:
 
 
 def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """(conv, role, turn, text) of sorted rows."""
+    """(conv, role, seed, and turn and text where they are read) of sorted rows."""
     for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in ("conv", "role", "turn", "text")), strict=True)
+        yield from zip(*(batch.column(c).to_pylist() for c in ("conv", "role", "seed", "turn", "text") if c in batch.schema.names), strict=True)
 
 
 def ends(part: int, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """(part, conv, is first, is last, matrix) of the first and the last conversation of a partition."""
     first, conv, matrix, seen = True, None, None, False
-    for c, role, turn, text in runs(batches):
+    for c, role, seed, *_ in runs(batches):
         if seen and c != conv:
             if first:
                 yield part, conv, True, False, matrix
@@ -127,7 +131,7 @@ def ends(part: int, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         if matrix is None:
             matrix = [[0 if i == j else NEVER for j in range(4)] for i in range(4)]
         conv, seen = c, True
-        ways = steps(role, turn, text)
+        ways = steps(role, seed)
         matrix = [advance(v, ways) for v in matrix]
     if seen:
         yield part, conv, first, True, matrix
@@ -150,8 +154,8 @@ def repair(turns: Iterator[tuple], costs: Vector, matrix_end: int | None) -> Ite
     matrices = []
     for s in segments:
         m = [[0 if i == j else NEVER for j in range(4)] for i in range(4)]
-        for _, role, turn, text in s:
-            ways = steps(role, turn, text)
+        for _, role, seed, *_ in s:
+            ways = steps(role, seed)
             m = [advance(v, ways) for v in m]
         matrices.append(m)
     vectors = [costs]
@@ -202,73 +206,67 @@ def shared_states(rows: list[tuple]) -> dict[tuple[int, object], tuple[Vector, i
 
 def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Per turn: conversation, turn, role, new_role, action (keep, relabel), merged, inserted (roles of empty turns before it), closing (roles of
-    empty turns after it), cost, fragment."""
+    empty turns after it), cost, fragment, place (in the order of all rows)."""
     rows = conversations.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    ).distinct()
-    keys = ["conv", "turn", "role", "text"]
-    n = max(1, int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ).withColumn("place", F.monotonically_increasing_id())  # so that many equal rows can be cut apart
+    spark = conversations.sparkSession
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(64)), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PART_BYTES))
     kind = ddl(rows.schema["conv"].dataType)
-    sorted_ = rows.repartitionByRange(n, "conv", "turn", "role", "text").sortWithinPartitions(*keys)
-    table = materialize(sorted_.withColumn("part", F.spark_partition_id()), "turns")
+    sorted_ = rows.repartitionByRange(n, *KEYS).sortWithinPartitions(*KEYS)
+    seed = F.xxhash64("turn", "role", "text").bitwiseAND(F.lit((1 << 63) - 1))
+    table = materialize(sorted_.select("conv", "turn", "role", "text", "place", seed.alias("seed"), F.spark_partition_id().alias("part")), "turns")
     ends_kind = f"part int, conv {kind}, first boolean, last boolean, matrix array<string>"
 
-    def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
-        """Batches by part: a file holds one part, in order, and a task may read several."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            parts = batch.column("part").to_pylist()
-            at = 0
-            while at < len(parts):
-                to = at
-                while to < len(parts) and parts[to] == parts[at]:
-                    to += 1
-                if held and held[0].column("part")[0].as_py() != parts[at]:
-                    yield held[0].column("part")[0].as_py(), iter(held)
-                    held = []
-                held.append(batch.slice(at, to - at))
-                at = to
-        if held:
-            yield held[0].column("part")[0].as_py(), iter(held)
-
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, own in grouped(batches):
-            own = list(own)
-            found = list(ends(part, own))
-            kinds = [pa.int32(), own[0].schema.field("conv").type, pa.bool_(), pa.bool_(), pa.list_(pa.string())]
-            columns = [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [f[3] for f in found], [[str(x) for v in f[4] for x in v] for f in found]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "conv", "first", "last", "matrix"])
-
-    whole = one_task_per_part(table)
-    bounds = whole.mapInArrow(sums, ends_kind).collect()  # two rows a partition
+        first, batches = opened(batches)
+        if first is None:
+            return
+        found = list(ends(first.column("part")[0].as_py(), batches))
+        kinds = [pa.int32(), first.schema.field("conv").type, pa.bool_(), pa.bool_(), pa.list_(pa.string())]
+        columns = [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [f[3] for f in found], [[str(x) for v in f[4] for x in v] for f in found]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "conv", "first", "last", "matrix"])
+
+    bounds = one_task_per_part(table.drop("text"), n).mapInArrow(sums, ends_kind).collect()  # two rows a partition
     shared = shared_states([(r["part"], r["conv"], r["first"], r["last"], [[int(x) for x in r["matrix"][4 * i : 4 * i + 4]] for i in range(4)]) for r in bounds])
-    states = conversations.sparkSession.sparkContext.broadcast(shared)
-    out_kind = f"conv {kind}, turn long, role string, new_role string, action string, merged boolean, inserted array<string>, closing array<string>, cost long, fragment string"
+    states = spark.sparkContext.broadcast(shared)
+    out_kind = f"conv {kind}, turn long, role string, new_role string, action string, merged boolean, inserted array<string>, closing array<string>, cost long, fragment string, place long"
 
     def render(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, own in grouped(batches):
-            own = list(own)
-            conv_kind = own[0].schema.field("conv").type
-            names = ["conv", "turn", "role", "new_role", "action", "merged", "inserted", "closing", "cost", "fragment"]
-            kinds = [conv_kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.string()]
-            held: list[tuple] = []
-            for conv, turns in conversations_of(runs(own)):
-                costs, end, starts_here, ends_here = states.value.get((part, conv), (START, None, True, True))
-                found = list(repair(iter(turns), costs, end))
-                for i, ((_, role, turn, text), step) in enumerate(found):
-                    last = ends_here and i == len(found) - 1
-                    new = ROLES[step.after - 1]
-                    same = ALIASES.get((role or "").strip().lower()) == new
-                    closing = list(ENDS[step.after]) if last else []
-                    cost = (step.cost >> SHIFT) + INSERT * len(closing)
-                    held.append((conv, turn, role, new, "keep" if same else "relabel", step.merged, list(step.inserted), closing, cost, fragment(step, text, starts_here and i == 0, last)))
-                    if len(held) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
-                        held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
-
-    return whole.mapInArrow(render, out_kind).withColumnsRenamed({"conv": conv_col, "turn": turn_col, "role": role_col})
+        first, batches = opened(batches)
+        if first is None:
+            return
+        part, conv_kind = first.column("part")[0].as_py(), first.schema.field("conv").type
+        names = ["conv", "turn", "role", "new_role", "action", "merged", "inserted", "closing", "cost", "fragment", "place"]
+        kinds = [conv_kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.string(), pa.int64()]
+        place = part << 40
+        held: list[tuple] = []
+        for conv, turns in conversations_of(runs(batches)):
+            costs, end, starts_here, ends_here = states.value.get((part, conv), (START, None, True, True))
+            count = len(turns)
+            for i, ((_, role, _, turn, text), step) in enumerate(repair(iter(turns), costs, end)):
+                last = ends_here and i == count - 1
+                new = ROLES[step.after - 1]
+                same = ALIASES.get((role or "").strip().lower()) == new
+                closing = list(ENDS[step.after]) if last else []
+                cost = (step.cost >> SHIFT) + INSERT * len(closing)
+                held.append((conv, turn, role, new, "keep" if same else "relabel", step.merged, list(step.inserted), closing, cost, fragment(step, text, starts_here and i == 0, last), place))
+                place += 1
+                if len(held) >= 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+    return one_task_per_part(table, n).mapInArrow(render, out_kind).withColumnsRenamed({"conv": conv_col, "turn": turn_col, "role": role_col})
+
+
+def opened(batches: Iterable[pa.RecordBatch]) -> tuple[pa.RecordBatch | None, Iterator[pa.RecordBatch]]:
+    """The first batch with rows, and all batches from it on."""
+    batches = iter(batches)
+    first = next((b for b in batches if b.num_rows), None)
+    return first, chain([first] if first is not None else [], batches)
 
 
 def conversations_of(rows: Iterator[tuple]) -> Iterator[tuple[object, list[tuple]]]:
@@ -282,12 +280,12 @@ def conversations_of(rows: Iterator[tuple]) -> Iterator[tuple[object, list[tuple
         yield held[0][0], held
 
 
-def one_task_per_part(table: DataFrame) -> DataFrame:
-    """A scan may cut a file; parts must be whole and in order, so they are dealt out by number and sorted again."""
-    return table.repartition("part").sortWithinPartitions("part", "conv", "turn", "role", "text")
+def one_task_per_part(table: DataFrame, n: int) -> DataFrame:
+    """A scan may cut a file; parts must be whole and in order, so each is dealt to a task of its own and sorted again."""
+    return table.repartitionById(n, "part").sortWithinPartitions(*KEYS)
 
 
-def rendered(fragments: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+def rendered(fragments: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Whole rendered conversations, for tables whose conversations each fit in a row."""
-    parts = F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("t"), F.col("role").alias("r"), F.col("fragment").alias("f"))))
+    parts = F.sort_array(F.collect_list(F.struct(F.col("place").alias("p"), F.col("fragment").alias("f"))))
     return fragments.groupBy(conv_col).agg(F.array_join(F.transform(parts, lambda x: x["f"]), "").alias("text"), F.sum("cost").alias("cost"))

@@ -6,7 +6,8 @@ whose headers (lengths, block and payload digests, record ids) are made anew. Of
 the one with the greatest id is a response and the others revisit it.
 
 A task writes under a temporary name of its own and reports its files; the reports of committed tasks form a manifest, by which files
-are renamed. A task that is run again writes other names, and renaming twice does nothing.
+are renamed. A task that is run again writes other names, and renaming twice does nothing. Writing to a folder that holds an archive replaces it:
+files of equal names are replaced, others of the old manifest go. Readers hold each file against its digest in the manifest.
 
 Null html is an empty payload; null urls are empty; null ids sort first, and an id of null revisits like another. Rows that repeat an id
 and payload are alike: if the id is the greatest of its payload they are all responses. Other columns are ignored. An empty table
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoscope.llm.common import slices
-from duoscope.runtime import fresh_path, materialize
+from duoscope.runtime import discard, fresh_path, materialize
 
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
@@ -169,11 +170,27 @@ def _write(batches: Iterable[pa.RecordBatch], out_dir: str, roll_bytes: int) ->
 
 
 def _publish(batches: Iterable[pa.RecordBatch], out_dir: str) -> Iterator[pa.RecordBatch]:
+    """Renames temporary files. Where one is gone, an earlier attempt has renamed it."""
     fs, root = file_system(out_dir)
+    there = lambda path: fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound
     for batch in batches:
         for name, temporary in zip(batch.column("name").to_pylist(), batch.column("temporary").to_pylist(), strict=True):
-            if fs.get_file_info(f"{root}/{name}").type == pyarrow.fs.FileType.NotFound:
-                fs.move(temporary, f"{root}/{name}")
+            target = f"{root}/{name}"
+            if there(temporary):
+                if there(target):
+                    fs.delete_file(target)
+                fs.move(temporary, target)
+            elif not there(target):
+                raise FileNotFoundError(target)
+        yield batch
+
+
+def _remove(batches: Iterable[pa.RecordBatch], out_dir: str) -> Iterator[pa.RecordBatch]:
+    fs, root = file_system(out_dir)
+    for batch in batches:
+        for name in batch.column("name").to_pylist():
+            if fs.get_file_info(f"{root}/{name}").type != pyarrow.fs.FileType.NotFound:
+                fs.delete_file(f"{root}/{name}")
         yield batch
 
 
@@ -198,13 +215,34 @@ def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col:
         F.coalesce(F.col("has_id") & ~F.col("id_").eqNullSafe(F.col("m")), F.lit(False)).alias("is_revisit"),
     )
     kinds = "id_ long, url_ string, html_ string, sha string, size long, m long, is_revisit boolean"
-    dealt = marked.mapInArrow(place, f"{kinds}, shard long").repartition(max(1, len(starts)), "shard").sortWithinPartitions("shard", "id_", "sha", "url_")
+    dealt = marked.mapInArrow(place, f"{kinds}, shard long").repartitionById(max(1, len(starts)), F.col("shard").cast("int")).sortWithinPartitions("shard", "id_", "sha", "url_")
     written = materialize(dealt.mapInArrow(lambda b: _write(b, out_dir, roll_bytes), _MANIFEST), "written")
-    written.repartition(max(1, min(64, len(starts))), "name").mapInArrow(lambda b: _publish(b, out_dir), _MANIFEST).drop("temporary").write.mode("overwrite").parquet(f"{out_dir}/_manifest")
     fs, root = file_system(out_dir)
-    if fs.get_file_info(f"{root}/_temporary").type != pyarrow.fs.FileType.NotFound:
+    there = lambda path: fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound
+    old = materialize(spark.read.parquet(f"{out_dir}/_manifest").select("name"), "old") if there(f"{root}/_manifest") else None
+    new = written.repartition(max(1, min(64, len(starts))), "name").mapInArrow(lambda b: _publish(b, out_dir), _MANIFEST).drop("temporary")
+    new.write.mode("overwrite").parquet(f"{out_dir}/_manifest")
+    manifest = spark.read.parquet(f"{out_dir}/_manifest")
+    if old is not None:
+        old.join(manifest, "name", "left_anti").mapInArrow(lambda b: _remove(b, out_dir), "name string").count()
+        discard(old)
+    if there(f"{root}/_temporary"):
         fs.delete_dir(f"{root}/_temporary")
-    return spark.read.parquet(f"{out_dir}/_manifest")
+    for done in (groups, written):
+        discard(done)
+    return manifest
+
+
+class _Hashed:
+    """A stream that is hashed as it is read."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.sha = stream, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.sha.update(data)
+        return data
 
 
 def members(stream) -> Iterator[bytes]:
@@ -240,10 +278,11 @@ def _read(batches: Iterable[pa.RecordBatch], out_dir: str, payloads: bool) -> It
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
     for names in batches:
-        for name in names.column("name").to_pylist():
+        for name, sha in zip(names.column("name").to_pylist(), names.column("sha256").to_pylist(), strict=True):
             rows: list[tuple] = []
             held = 0
-            with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
+            with fs.open_input_stream(f"{root}/{name}", compression=None) as opened:
+                stream = _Hashed(opened)
                 for record in members(stream):
                     headers, block = parse(record)
                     if headers["WARC-Type"] == "warcinfo":
@@ -259,13 +298,15 @@ def _read(batches: Iterable[pa.RecordBatch], out_dir: str, payloads: bool) -> It
                     if held > 1 << 21:
                         yield batch_of(rows)
                         rows, held = [], 0
+            if stream.sha.hexdigest() != sha:
+                raise ValueError(f"{name}: not the file of the manifest")
             if rows:
                 yield batch_of(rows)
 
 
 def read_warc(spark: SparkSession, out_dir: str, payloads: bool = True) -> DataFrame:
     """A row for each page record of the manifest's files, with lengths and digests checked."""
-    files = spark.read.parquet(f"{out_dir}/_manifest").select("name")
+    files = spark.read.parquet(f"{out_dir}/_manifest").select("name", "sha256")
     return files.repartition(max(1, min(10_000, files.count()))).mapInArrow(lambda b: _read(b, out_dir, payloads), _READ)
 
 

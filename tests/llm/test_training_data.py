@@ -101,9 +101,9 @@ def test_chat_does_not_depend_on_partitions(spark):
     rows = [(1 if k % 3 else 2, k, r.choice(["user", "assistant", "system"]), f"x{k}") for k in range(600)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
-    one = rows_of(chat.format_chats(df))
+    one = rows_of(chat.format_chats(df).drop("place"))
     spark.conf.set("spark.sql.shuffle.partitions", "7")
-    seven = rows_of(chat.format_chats(df))
+    seven = rows_of(chat.format_chats(df).drop("place"))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert one == seven
 
@@ -112,7 +112,18 @@ def test_chat_edges(spark):
     kind = "conv_id long, turn long, role string, text string"
     assert chat.format_chats(spark.createDataFrame([], kind)).count() == 0
     out = chat.format_chats(spark.createDataFrame([(None, None, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b")], kind))
-    assert out.count() == 3
+    assert out.count() == 4 and chat.rendered(out.filter("conv_id = 1")).first()["text"].startswith("<|user|>\na\na")
+
+
+def test_chat_long_conversations_and_texts(spark, monkeypatch):
+    """A conversation over several segments and parts, with rows that repeat and a long text."""
+    monkeypatch.setattr(chat, "SEGMENT", 50)
+    r = random.Random(2)
+    rows = [(1, k // 2, r.choice(["user", "assistant", "system", "tool"]), "same") for k in range(700)] + [(1, 900, "user", "long " * 200_000), (2, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    one = rows_of(chat.format_chats(df).drop("place"))
+    monkeypatch.setattr(chat, "PART_BYTES", 1000)
+    assert len(one) == len(rows) and rows_of(chat.format_chats(df.repartition(3)).drop("place")) == one
 
 
 # 2
@@ -431,6 +442,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_writes_again_and_checks_files(spark, tmp_path):
+    kind = "page_id long, url string, html string"
+    out = f"file://{tmp_path}/a"
+    warc.write_warc(spark.createDataFrame([(k, "u", f"old{k} " * 50) for k in range(60)], kind), out, shard_bytes=5_000, roll_bytes=1_000)
+    new = [(k, "u", f"NEW{k} " * 50) for k in range(20)] + [(7, "u", "NEW7 " * 50), (7, "u", "other")]
+    warc.write_warc(spark.createDataFrame(new, kind), out, shard_bytes=5_000, roll_bytes=1_000)
+    got = sorted((r["page_id"], r["record_type"], r["payload"]) for r in warc.read_warc(spark, out).collect())
+    assert got == sorted((i, "response", h) for i, _, h in new)
+    names = {r["name"] for r in spark.read.parquet(f"{out}/_manifest").collect()}
+    files = {p.name for p in (tmp_path / "a").glob("*.gz")}
+    assert files == names
+    victim = tmp_path / "a" / sorted(files)[0]
+    victim.write_bytes((tmp_path / "a" / sorted(files)[1]).read_bytes())
+    with pytest.raises(Exception, match="not the file of the manifest"):
+        warc.read_warc(spark, out).collect()
+
+
 # 9
 
 
