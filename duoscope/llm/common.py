@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from duoscope.runtime import discard, materialize
+
 #: Bytes of text that a Python worker takes apart at a time; one longer text is taken whole.
 SLICE_BYTES = 1 << 21
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -39,6 +42,16 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"))
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, drop: Callable[[], None] = lambda: None) -> None:
+    """Called in a Python worker by the operator that begins work there: what other operators have left in the worker's memory goes."""
+    for other in [k for k in _CACHES if k != name]:
+        _CACHES.pop(other)()
+    _CACHES[name] = drop
+
+
 def text_bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "replace") if text else b""
 
@@ -98,6 +111,39 @@ def labelled_texts(docs: DataFrame, picked: DataFrame, id_col: str, text_col: st
     return rows.join(F.broadcast(picked), "id_").groupBy("id_").agg(F.min(F.struct("text_", "y_", *[f"{c}_" for c in extra])).alias("s")).select("id_", "s.*")
 
 
+def within_words(rows: list[tuple], train_words: int) -> list[tuple]:
+    """rows: (any, class, size). The rows in order, each class up to half of train_words. One too large for what is left is passed over; the smallest of a class always stays."""
+    least = {c: min((i for i, r in enumerate(rows) if r[1] == c), key=lambda i: rows[i][2], default=-1) for c in (0, 1)}
+    left = {c: train_words // 2 - (rows[i][2] if i >= 0 else 0) for c, i in least.items()}
+    kept = []
+    for i, r in enumerate(rows):
+        if i != least[r[1]]:
+            if r[2] > left[r[1]]:
+                continue
+            left[r[1]] -= r[2]
+        kept.append(r)
+    return kept
+
+
+def sampled_texts(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, train_words: int, extra: tuple[str, ...] = ()) -> pa.Table:
+    """labelled_texts() for training on the driver, with words and bytes bounded before they are collected.
+
+    Each class has half of train_words, in order of the texts' hashes. A text counts as many words as it has, or as one for each 16 bytes if
+    that is more, so that no more than 16 * train_words bytes are collected (besides one text of each class). One too large for what is left is
+    passed over. What the driver chooses from is a number a picked row.
+    """
+    sample = materialize(labelled_texts(docs, picked, id_col, text_col, extra).withColumn("row_", F.monotonically_increasing_id()), "sample")
+    size = F.greatest(F.regexp_count("text_", F.lit(WORD)), F.ceil(F.octet_length("text_") / 16).cast("int"))
+    rows = sorted(map(tuple, sample.select(F.xxhash64("text_"), "row_", "y_", size).collect()))
+    kept = within_words([r[1:] for r in rows], train_words)
+    found = sample
+    if len(kept) < len(rows):
+        found = sample.join(F.broadcast(docs.sparkSession.createDataFrame([(r[0],) for r in kept], "row_ long")), "row_")  # no more than the picked rows
+    found = found.drop("row_", "id_").toArrow()
+    discard(sample)
+    return found
+
+
 def platt(logits: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Weighted logistic fit of y on one logit, by Newton's method with a small ridge towards slope 1: (slope, intercept)."""
     a, b = 1.0, 0.0

@@ -1,11 +1,13 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised test items.
 
 Texts are lower-cased (A-Z) and cut into words of digits, letters and non-ASCII characters. A window is `window`
-consecutive words of an item, or a whole item with fewer. The document's words are joined by single spaces and
-scanned once; matches give word ranges, and these give offsets in the original text.
+consecutive words of an item, or a whole item with fewer. The automaton reads words as two letters each, the two halves of the word's number among
+the items' words: that keeps it to two nodes a word, with few branches at each. A document is scanned once; matches give word ranges, and these
+give offsets in the original text.
 
 Null and empty texts have no words; null item ids are named ''. Items of the same text all count. Rows that repeat an id give
-a row each. Input columns other than the named ones are ignored. Empty tables give no rows or no hits.
+a row each. Very long texts are scanned whole, and a very long item is cut into windows like any other (it makes a block larger than block_chars by
+what it has over). Input columns other than the named ones, whatever their names, are ignored. Empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -20,39 +23,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import ddl, sha256, slices, text_bytes, two_columns
+from duoscope.llm.common import claim, ddl, sha256, slices, text_bytes, two_columns
+from duoscope.runtime import discard, materialize
 
 WINDOW = 13
 #: Characters of items in one automaton. It bounds what is broadcast and what a worker holds; more items are scanned block by block.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 
 _TO_SPACE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _ORIGINAL_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
-_BUILT: dict[str, ahocorasick.Automaton] = {}
 
 
 def words(text: str | None) -> list[bytes]:
     return text_bytes(text).lower().translate(_TO_SPACE).split()
 
 
-def windows(item_words: list[bytes], window: int) -> list[list[bytes]]:
+def windows(item_words: list[str], window: int) -> list[list[str]]:
     if len(item_words) <= window:
         return [item_words] if item_words else []
     return [item_words[i : i + window] for i in range(len(item_words) - window + 1)]
 
 
-def automaton(items: list[tuple[str, str]], window: int) -> ahocorasick.Automaton:
-    """Patterns are windows between spaces; each carries its number of words and the ids of its items."""
+class Windows(NamedTuple):
+    """The automaton of all windows, and the letters of the items' words."""
+
+    letters: dict[bytes, str]
+    found: ahocorasick.Automaton
+
+
+_BUILT: dict[str, Windows] = {}
+_OTHER = "\x01\x01"  # any other word
+
+
+def letters_of(number: int) -> str:
+    """Two letters of different ranges, so that nothing matches across words. The first is below the surrogates for up to 13 million words."""
+    return chr(0x200 + (number >> 8)) + chr(0x100 + (number & 0xFF))
+
+
+def automaton(items: Iterable[tuple[str, str]], window: int) -> Windows:
+    """Each window carries its number of words and the ids of its items."""
+    letters: dict[bytes, str] = {}
     found: dict[str, tuple[int, set[str]]] = {}
     for item_id, text in items:
-        for w in windows(words(text), window):
-            found.setdefault(b" %b " % b" ".join(w), (len(w), set()))[1].add(item_id)
+        own = [letters.get(w) or letters.setdefault(w, letters_of(len(letters))) for w in words(text)]
+        for w in windows(own, window):
+            found.setdefault("".join(w), (len(w), set()))[1].add(item_id)
     out = ahocorasick.Automaton()
-    for pattern, (n, ids) in found.items():
-        out.add_word(pattern.decode("utf-8"), (n, tuple(sorted(ids))))
-    if found:
+    for key in list(found):
+        n, ids = found.pop(key)
+        out.add_word(key, (n, tuple(sorted(ids))))
+    if len(out):
         out.make_automaton()
-    return out
+    return Windows(letters, out)
 
 
 def _merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
@@ -67,18 +89,18 @@ def _merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def scan(text: str | None, found: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
+def scan(text: str | None, own: Windows) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Number of words, covered word ranges, ids of the items found."""
-    own = words(text)
-    if not own or not len(found):
-        return len(own), [], set()
-    matches = list(found.iter((b" %b " % b" ".join(own)).decode("utf-8")))
+    found = words(text)
+    if not found or not own.letters:
+        return len(found), [], set()
+    letters = own.letters.get
+    matches = list(own.found.iter("".join([letters(w, _OTHER) for w in found])))
     if not matches:
-        return len(own), [], set()
-    ends = np.cumsum([len(w.decode("utf-8")) + 1 for w in own])
-    last = np.searchsorted(ends, [m[0] for m in matches]) + 1
+        return len(found), [], set()
+    last = np.array([(m[0] + 1) // 2 for m in matches])
     first = last - np.array([m[1][0] for m in matches])
-    return len(own), _merged(first, last), {i for m in matches for i in m[1][1]}
+    return len(found), _merged(first, last), {i for m in matches for i in m[1][1]}
 
 
 def drop_contaminated(
@@ -96,6 +118,7 @@ _STATE = "n_words long, ranges array<int>, items array<string>"
 
 
 def _pass(batches: Iterable[pa.RecordBatch], items, window: int, key: str) -> Iterator[pa.RecordBatch]:
+    claim("decontamination", _BUILT.clear)
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = automaton(items.value, window)
@@ -153,6 +176,11 @@ def decontaminate(
         block = tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
         items = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])
         out = _run(out, items, window, kind)
+        if k < blocks - 1:  # written, so that no two automatons are held at a time
+            out = materialize(out, "block")
+            if k:
+                discard(last)
+            last = out
     done = out.mapInArrow(_spans, f"id_ {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, items_sha256 string")
     return done.select(
         F.col("id_").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", "items_sha256",

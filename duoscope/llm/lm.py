@@ -7,13 +7,16 @@ features: the last token, the last two (an n-gram), and the one before last (a s
 over unit_words, the most frequent words have leaves and the others share some by hash, inside which they follow their smoothed counts; unknown
 words share such leaves too.
 
-Counts cover all training documents. Training runs in rounds; in each, every task makes gradient steps over its share of the
-round's documents from the shared weights, and what it changed is summed by blocks of weights and averaged over the tasks that changed a weight. Rounds
+Counts cover all training documents. Training runs in rounds; the documents of a round are dealt by hash to units of work, whose number follows the
+counted tokens, so that the model does not depend on how the table is split. Each unit makes gradient steps over its documents, in order of a hash,
+from the shared weights, and what it changed is summed by blocks of weights and averaged over the units that changed a weight. Rounds
 and rows of weights grow with the counted tokens, rows up to 2**MOST_BITS a level, so they can be broadcast. Counts are looked up in broadcast arrays while the vocabulary is at most
 lookup_words; a larger one is joined.
 
-Null and empty texts are one end. Ids learn by crc32 of the id as text (null: of the empty text). Rows that repeat an id give a row each. Where
-there is nothing to learn from, all tokens are unknown and both scores use one unknown outcome.
+Null and empty texts are one end; very long ones are learned and scored whole. Ids learn by crc32 of the id as text (null: of the empty text). Rows
+that repeat an id give a row each. Of words of equal count that are partly left out of the own units or leaves, the first by spelling or hash are in.
+Where there is nothing to learn from, all tokens are unknown and both scores use one unknown outcome. An empty table gives an empty one. Other
+columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duoscope.llm.common import crc_mod, crc_mod_column, ddl, mix64, slices, text_bytes, two_columns
+from duoscope.llm.common import claim, crc_mod, crc_mod_column, ddl, mix64, slices, text_bytes, two_columns
 from duoscope.runtime import discard, materialize
 
 FOLD = (5, 1)
@@ -47,6 +50,8 @@ LOOKUP_WORDS = 4_000_000
 FLUSH_WORDS = 200_000
 BLOCK = 512
 MOST_SUMS = 96  # tasks that sum changes
+WORK_TOKENS = 1 << 20  # of a unit of work, at least
+MOST_WORK = 4096  # units of work in a round, at most
 PARTS = 4  # in which the driver gets the words
 END = b""
 _FEATURES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -256,12 +261,12 @@ def descend(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.n
     for k in range(rows.shape[1]):
         order = np.argsort(rows[:, k], kind="stable")
         sorted_ = rows[order, k]
-        last = np.flatnonzero(np.concatenate((sorted_[1:] != sorted_[:-1], [True])))
-        at, g = sorted_[last], np.cumsum(np.take(grad, order, axis=0), axis=0, dtype=np.float64).take(last, axis=0)
-        g[1:] -= g[:-1].copy()
-        g = g.astype(np.float32)
-        squares[at] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        table[at] = np.take(table, at, axis=0) - g * (rate / np.sqrt(squares[at]))[:, None]
+        first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+        at, g = sorted_[first], np.add.reduceat(np.take(grad, order, axis=0), first, axis=0)
+        s = np.take(squares, at) + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        squares[at] = s
+        g *= (rate / np.sqrt(s))[:, None]
+        table[at] = np.take(table, at, axis=0) - g
 
 
 class Learner:
@@ -400,20 +405,25 @@ def train(texts: DataFrame, shared_units: Broadcast, rounds: int | None = None)
     w = start_weights(units)
     rounds = rounds or rounds_for(units.total)
     blocks = np.cumsum([0, *[len(x) // BLOCK for x in w.tables]])
+    work = max(1, min(MOST_WORK, -(-units.total // (rounds * WORK_TOKENS))))
+    h = F.xxhash64("id_", "text_", F.lit(11))
+    dealt = texts.select("id_", "text_", h.alias("h_"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(work)).cast("int").alias("work_"))
     for k in range(rounds):
         shared = context.broadcast(w)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            claim("lm")
             learner = None
             for batch in slices(batches, "text_"):
-                learner = learner or Learner(shared.value)
+                if learner is None:
+                    learner, own = Learner(shared.value), batch.column("work_")[0].as_py()
                 learner.learn(tokens([text_bytes(t) for t in batch.column("text_").to_pylist()], shared_units.value), shared_units.value.tail)
             if learner:
                 for n, data in learner.changes():
-                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([data], pa.binary())], names=["block", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([own], pa.int32()), pa.array([data], pa.binary())], names=["block", "work", "data"])
 
         def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Sums sorted blocks one after another; a weight's change is averaged over the tasks that changed its row."""
+            """Sums sorted blocks one after another; a weight's change is averaged over the units of work that changed its row."""
             now, total, seen = None, None, None
 
             def out() -> pa.RecordBatch:
@@ -432,8 +442,9 @@ def train(texts: DataFrame, shared_units: Broadcast, rounds: int | None = None)
             if now is not None:
                 yield out()
 
-        part = texts.filter(F.pmod(F.xxhash64("id_", F.lit(11)), F.lit(rounds)) == k)
-        changed = part.mapInArrow(run, "block int, data binary").repartition(min(int(blocks[-1]), MOST_SUMS), "block").sortWithinPartitions("block").mapInArrow(add, "block int, data binary")
+        part = dealt.filter(F.pmod("h_", F.lit(rounds)) == k).repartitionById(work, "work_").sortWithinPartitions("h_", "id_", "text_")
+        changes = part.mapInArrow(run, "block int, work int, data binary").repartition(min(int(blocks[-1]), MOST_SUMS), "block").sortWithinPartitions("block", "work")
+        changed = changes.mapInArrow(add, "block int, data binary")
         changed = materialize(changed, "changed")  # so that its shuffle files go at once
         for table, first, end in zip(w.tables, blocks[:-1], blocks[1:], strict=True):
             for r in changed.filter(F.col("block").between(int(first), int(end) - 1)).collect():
@@ -475,6 +486,7 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     kind = ddl(rows.schema["id_"].dataType)
 
     def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        claim("lm")
         own_units, w = shared_units.value, model.value
         for batch in slices(batches, "text_"):
             own = tokens([text_bytes(t) for t in batch.column("text_").to_pylist()], own_units)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from duoscope.llm.common import ddl, sha256, slices, two_columns
+from duoscope.llm.common import claim, ddl, sha256, slices, two_columns
 
 TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
@@ -164,6 +164,7 @@ _LOADED: dict[str, Vocabulary] = {}
 
 
 def vocabulary(path: str) -> Vocabulary:
+    claim("pieces", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = Vocabulary(path)
     return _LOADED[path]

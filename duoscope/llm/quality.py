@@ -1,13 +1,14 @@
 """Quality rules: exact base counts, then a calibrated logistic regression on hashed word and character n-grams.
 
 Base counts use words `[^\\x20\\x09-\\x0D]+` of the whole text; a text with fewer than 20 words, or of which over 30 % of the words
-lie in repeated 8-word windows, fails. The model sees hashed words, word pairs and 3- and 4-byte sequences, each as its
+lie in repeated 8-word windows, fails. The model sees hashed words, word pairs and sequences of 3 and 4 characters (code points), each as its
 share of the text. It is trained on a bounded, hash-ordered sample of labelled rows of each class; a quarter of the
 sample is left out of training and calibrates the probabilities (Platt's method), with classes weighted as in all labels.
 
 Null texts count as empty: no words, base_failed. Repeated ids give a row each. Labels are read by id; null labels and ids are
 left out, and of contradicting ones the greater counts. Without labels of both classes every probability is 0.5 and the
-verdict is that of the base rules. Other columns are ignored.
+verdict is that of the base rules. A probability that equals keep_from is kept. Very long texts are scored whole, and learned from where the sample's
+words allow it. An empty table gives an empty one. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from duoscope.llm.common import bounded_labels, class_counts, ddl, labelled_texts, mix64, platt, slices, text_bytes, two_columns
+from duoscope.llm.common import bounded_labels, claim, class_counts, ddl, mix64, platt, sampled_texts, slices, text_bytes, two_columns
 
 #: The bound of the training sample: rows of each class.
 PER_CLASS = 1500
+#: And its words, half of them for each class.
+TRAIN_WORDS = 6_000_000
 BITS = 17
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
@@ -96,15 +99,16 @@ def features(raws: list[bytes], words: Words, bits: int = BITS) -> list[tuple[np
     same = owner[1:] == owner[:-1]
     pair = (hashed[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashed[1:])[same]
     out = [((mix64(hashed) >> shift).astype(np.int64), owner), ((mix64(pair) >> shift).astype(np.int64), owner[1:][same])]
-    data = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint32)
-    text = np.repeat(np.arange(len(raws)), [len(r) for r in raws])
-    for n, factor in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
+    texts = [raw.decode("utf-8", "replace") for raw in raws]
+    data = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    text = np.repeat(np.arange(len(raws)), [len(t) for t in texts])
+    for n, factor in ((3, 0x9E3779B97F4A7C15), (4, 0x85EBCA77C2B2AE63)):
         m = max(0, len(data) - n + 1)
-        h = np.zeros(m, np.uint32)
-        for k in range(n):
-            h |= data[k : k + m] << np.uint32(8 * k)
+        h = np.zeros(m, np.uint64)
+        for k in range(n):  # 21 bits hold a code point: three fit, four are folded
+            h = (h << np.uint64(21) | h >> np.uint64(43)) ^ data[k : k + m]
         inside = text[:m] == text[n - 1 :]
-        out.append((((h * np.uint32(factor)) >> np.uint32(32 - bits)).astype(np.int64)[inside], text[:m][inside]))
+        out.append((((h * np.uint64(factor)) >> shift).astype(np.int64)[inside], text[:m][inside]))
     return out
 
 
@@ -170,19 +174,21 @@ def fit(rows: list[tuple[bytes, int]], share_of_one: float, epochs: int = 12, ra
     return Model(weights, bias, *platt(np.array([value(i) for i in at]), y[at], weight))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model | None:
-    """Fits on at most per_class rows of each class; these alone go to the driver."""
-    rows = [(text_bytes(r["text_"]), r["y_"]) for r in labelled_texts(docs, bounded_labels(labels, id_col, label_col, per_class), id_col, text_col).collect()]
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, train_words: int = TRAIN_WORDS) -> Model | None:
+    """Fits on at most per_class rows of each class and train_words / 2 words of each; these alone go to the driver, bounded before they do."""
+    found = sampled_texts(docs, bounded_labels(labels, id_col, label_col, per_class), id_col, text_col, train_words)
+    rows = [(text_bytes(t.as_py()), y) for t, y in zip(found.column("text_"), found.column("y_").to_pylist(), strict=True)]
     zero, one = class_counts(labels, id_col, label_col)
     return fit(rows, one / max(1, zero + one))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, keep_from: float = KEEP_FROM) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, keep_from: float = KEEP_FROM, train_words: int = TRAIN_WORDS) -> DataFrame:
     """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability (of quality 1), kept."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, per_class))  # 4 x 2**17 floats
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, per_class, train_words))  # 4 x 2**17 floats
     rows = two_columns(docs, id_col, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in slices(batches, "text_"):
             raws = [text_bytes(t) for t in batch.column("text_").to_pylist()]
             words = take_apart(raws)

@@ -3,10 +3,12 @@
 A word's embedding is the mean of hashed rows for the word, its beginnings and its ends. Filters of widths 1, 2 and 3 run over the
 words, the greatest response of each filter over the whole text is kept (max pooling), and a logistic layer gives the score.
 It is trained on a bounded, hash-ordered sample of labelled rows, where a text too long for what is left of its class's words is passed over; a fifth of the sample is left out and calibrates the score
-(Platt's method) and the threshold of each language. Neither labels, language, source nor id are inputs of a score.
+(Platt's method) and the threshold of each language, which is drawn to the common threshold 0.5 the more the fewer toxic rows the language has there.
+Neither labels, language, source nor id are inputs of a score.
 
-Null and empty texts are scored like a text without words. Repeated ids give a row each. Without labels of both classes every score is 0.
-A language without enough calibration rows, unknown or null takes the common threshold 0.5.
+Null and empty texts are scored like a text without words; very long ones are scored whole. Repeated ids give a row each. Without labels of both
+classes every score is 0. A score that equals a threshold reaches it. A language without calibration rows of both classes, unknown or null takes the
+common threshold. An empty table gives an empty one. Other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from duoscope.llm.common import bounded_labels, class_counts, crc_mod, ddl, labelled_texts, platt, slices, text_bytes
+from duoscope.llm.common import bounded_labels, claim, class_counts, crc_mod, ddl, platt, sampled_texts, slices, text_bytes, within_words
 from duoscope.llm.quality import Words, take_apart
 
 #: The bound of the training sample: rows of each class, and words in all, half of them for each class.
@@ -31,8 +33,8 @@ FOLD = (5, 0)
 BITS, DIM, FILTERS, WIDTHS = 16, 16, 16, (1, 2, 3)
 BEGINNINGS, ENDS = (3, 4, 5, 6, 7, 8, 9), (3, 5)
 CACHED_WORDS = 400_000
-#: Calibration rows of either class that a language needs for its own threshold.
-LEAST_ROWS = 25
+#: Toxic calibration rows from which a language's own threshold counts more than the common one.
+EVEN_ROWS = 25
 
 _EDGES = bytes(range(0x21, 0x30)) + b":;<=>?@[]^_`{|}~"
 
@@ -115,26 +117,11 @@ def scores(model: Model | None, embed: Embedder | None, raws: list[bytes]) -> np
     return 1 / (1 + np.exp(-np.clip(model.slope * logits(model, embed, raws).astype(np.float64) + model.intercept, -30, 30)))
 
 
-def within_words(rows: list[tuple[bytes, int, str | None]], train_words: int) -> list[tuple[bytes, int, str | None]]:
-    """The rows in order, each class up to half of the words. A text too long for what is left is passed over; the shortest of a class always stays."""
-    size = lambda r: len(r[0].split())
-    shortest = {c: min((i for i, r in enumerate(rows) if r[1] == c), key=lambda i: size(rows[i]), default=-1) for c in (0, 1)}
-    left = {c: train_words // 2 - (size(rows[i]) if i >= 0 else 0) for c, i in shortest.items()}
-    kept = []
-    for i, r in enumerate(rows):
-        if i != shortest[r[1]]:
-            n = size(r)
-            if n > left[r[1]]:
-                continue
-            left[r[1]] -= n
-        kept.append(r)
-    return kept
-
-
 def fit(rows: list[tuple[bytes, int, str | None]], share_of_one: float, epochs: int = 4, batch: int = 16, rate: float = 0.05, seed: int = 5, train_words: int = TRAIN_WORDS) -> tuple[Model | None, dict[str, float]]:
     """rows: text, class and language. Returns the model and the thresholds of languages."""
     rows = sorted(rows, key=lambda r: xxhash.xxh64_intdigest(r[0], seed))
-    kept = within_words(rows, train_words)
+    kept = within_words([(r, r[1], len(r[0].split())) for r in rows], train_words)
+    kept = [r for r, _, _ in kept]
     y = np.array([r[1] for r in kept], np.float32)
     if not 0 < y.sum() < len(y):
         return None, {}
@@ -230,8 +217,9 @@ def fit(rows: list[tuple[bytes, int, str | None]], share_of_one: float, epochs:
     thresholds = {}
     for lang in sorted({kept[i][2] for i in at if kept[i][2] is not None}):
         own = np.array([kept[i][2] == lang for i in at])
-        if min((own & (yt == 1)).sum(), (own & (yt == 0)).sum()) >= LEAST_ROWS:
-            thresholds[lang] = best_threshold(p[own], yt[own], weight[own])
+        n = int((own & (yt == 1)).sum())
+        if n and (own & (yt == 0)).any():
+            thresholds[lang] = (n * best_threshold(p[own], yt[own], weight[own]) + EVEN_ROWS * 0.5) / (n + EVEN_ROWS)
     return model._replace(slope=slope, intercept=intercept), thresholds
 
 
@@ -255,9 +243,9 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = PER_CLASS, fold: tuple[int, int] | None = FOLD, train_words: int = TRAIN_WORDS) -> tuple[Model | None, dict[str, float]]:
-    """Fits on at most per_class labelled rows of each class outside the fold, and train_words / 2 words of each; these rows alone go to the driver."""
+    """Fits on at most per_class labelled rows of each class outside the fold, and train_words / 2 words of each; these rows alone go to the driver, bounded before they do."""
     picked = bounded_labels(labels, id_col, label_col, per_class, fold)
-    found = labelled_texts(docs, picked, id_col, text_col, (lang_col,)).select("text_", "y_", f"{lang_col}_").toArrow()
+    found = sampled_texts(docs, picked, id_col, text_col, train_words, (lang_col,)).select(["text_", "y_", f"{lang_col}_"])
     rows = [(text_bytes(t.as_py()), y, lang) for t, y, lang in zip(found.column(0), found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True)]
     found = None
     zero, one = class_counts(labels, id_col, label_col, fold)
@@ -271,6 +259,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"), F.col(lang_col).cast("string").alias("lang_"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         own, limits = shared.value
         embed = Embedder(own.table) if own else None
         for batch in slices(batches, "text_"):
@@ -295,6 +284,7 @@ def mark_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     schema = StructType([*docs.schema.fields, StructField(MARK, BooleanType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         own, limits = shared.value
         embed = Embedder(own.table) if own else None
         for batch in slices(batches, text_col):

@@ -413,6 +413,24 @@ def test_lm_shared_leaves_join_counts(spark):
     assert [r["score"] for r in a] == pytest.approx([r["score"] for r in b]) and [r["n_known"] for r in a] == [r["n_known"] for r in b]
 
 
+def test_lm_scores_do_not_depend_on_partitions_and_beat_the_base(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WORK_TOKENS", 2_000)
+    r = random.Random(6)
+    follow = {w: r.sample(WORDS, 3) for w in WORDS}
+
+    def text():
+        out = [r.choice(WORDS)]
+        while len(out) < 60:
+            out.append(r.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    df = documents(spark, [(i, text()) for i in range(300)] + edge_texts())
+    three, eight = (sorted(map(tuple, lm.score_lm(df.repartition(n)).collect()), key=repr) for n in (3, 8))
+    assert three == eight
+    held = [x for x in three if x[1] and x[0] is not None and x[2] == 61]
+    assert len(held) > 30 and sum(x[6] for x in held) > 0.9 * sum(x[5] for x in held)
+
+
 def test_lm_rounds_and_rows_follow_the_tokens():
     units = lm.Units({}, np.full(lm.CLASSES * lm.SIZE, 1.0), 10, 5)
     assert len(lm.start_weights(units._replace(total=1 << 22)).units) > len(lm.start_weights(units).units)
@@ -579,13 +597,49 @@ def test_toxicity_long_text_does_not_end_the_sample(spark):
     model, limits = toxicity.fit([*rows, (long.encode(), 0, "en")], 1 / 3, train_words=40_000)
     alone, same = toxicity.fit(list(rows), 1 / 3, train_words=40_000)
     assert limits == same and "en" in limits and all(np.array_equal(a, b) for a, b in zip(model.kernels, alone.kernels, strict=True))
-    kept = toxicity.within_words(rows, 6_000)
-    assert {c: sum(len(t.split()) for t, y, _ in kept if y == c) for c in (0, 1)} == {0: 3_000, 1: 96 * 31}
+    kept = toxicity.within_words([(t, y, len(t.split())) for t, y, _ in rows], 6_000)
+    assert {c: sum(n for _, y, n in kept if y == c) for c in (0, 1)} == {0: 3_000, 1: 96 * 31}
     docs = documents(spark, [*texts, (600, long)])
     out = toxicity.score_toxicity(docs, spark.createDataFrame([*labels, (600, 0)], "doc_id long, toxic int"), train_words=40_000).collect()
     assert np.mean([r["predicted"] == int(r["doc_id"] % 3 == 0) for r in out if r["held_out"] and r["doc_id"] < 600]) > 0.9
 
 
+def test_sample_is_bounded_before_it_is_collected(spark):
+    from duoscope.llm import common
+
+    texts = [(i, prose(30, i)) for i in range(200)] + [(200, "x" * 400_000), (201, "word " * 4_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(202)], "doc_id long, y int")
+    picked = common.bounded_labels(labels, "doc_id", "y", 1000)
+    found = common.sampled_texts(documents(spark, texts), picked, "doc_id", "text", 4_000)
+    own = [len(t.split()) for t in found.column("text_").to_pylist()]
+    assert set(own) == {30} and len(own) == 2 * (2_000 // 30)
+    assert common.sampled_texts(documents(spark, texts), picked, "doc_id", "text", 10**9).num_rows == 202
+
+
+def test_toxicity_thresholds_by_language():
+    """Languages whose toxic texts carry other words, one of them with few: its threshold is drawn to 0.5."""
+    rows = [(f"{prose(20, i)} {'zork' if i % 2 else ''}".encode(), i % 2, "en") for i in range(600)]
+    rows += [(f"{prose(20, 7000 + i)} {'zork' if i % 2 or i % 3 == 0 else ''}".encode(), i % 2, "de") for i in range(400)]
+    rows += [(f"{prose(20, 9000 + i)} {'zork' if i % 2 else ''}".encode(), i % 2, "fr") for i in range(30)]
+    model, limits = toxicity.fit(rows, 0.5)
+    assert model is not None and set(limits) <= {"en", "de", "fr"} and {"en", "de"} <= set(limits)
+    assert all(0.05 <= x <= 0.95 for x in limits.values()) and all(abs(limits.get("fr", 0.5) - 0.5) <= 0.45 * n / (n + toxicity.EVEN_ROWS) for n in (6,))
+    p, y = np.array([0.1, 0.2, 0.3, 0.8, 0.9, 0.95]), np.array([0, 0, 0, 1, 1, 1.0])
+    assert toxicity.best_threshold(p, y, np.ones(6)) == pytest.approx(0.5) and toxicity.best_threshold(p / 4, y, np.ones(6)) == pytest.approx(0.2)
+
+
+def test_quality_sees_characters(spark):
+    """Texts of three characters a word, beyond bytes: the last character decides."""
+    g = random.Random(3)
+    word = lambda bad: "".join(g.choice("天地人山川") for _ in range(3)) + ("黑" if bad else "白")
+    texts = [(i, " ".join(word(i % 3 == 0) for _ in range(30))) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(160)], "doc_id long, quality int")
+    out = {r["doc_id"]: r["kept"] for r in quality.quality_rules(documents(spark, texts), labels).collect()}
+    assert np.mean([out[i] == (i % 3 != 0) for i in range(160, 240)]) > 0.95
+    (idx, owner), (idx4, _) = quality.features(["日本語é".encode(), b""], quality.take_apart(["日本語é".encode(), b""]))[2:]
+    assert len(idx) == 2 and len(idx4) == 1 and set(owner) == {0}
+
+
 def test_toxicity_bounds_of_the_sample():
     assert (toxicity.PER_CLASS, toxicity.TRAIN_WORDS) == (4000, 6_000_000)
 
