@@ -54,18 +54,6 @@ _RESP = ", rsp AS (SELECT hand, actor AS responder, aggressor, count(*) FILTER (
 _RESP_CTE = lens.RESPONSES_SQL[len(lens.ACTS_SQL + ", " + lens.HANDS_SQL) :]
 
 
-@query("WITH " + lens.PAIR_HANDS_SQL + _RESP_CTE + _RESP + f" SELECT p.hand, p.a, p.b, p.phase, p.a_n + p.b_n AS acts, p.a_raises, p.b_raises, coalesce(x.f, 0) AS a_folds_to_b, coalesce(y.f, 0) AS b_folds_to_a, {r4('least(greatest(-p.a_net, 0.0), greatest(p.b_net, 0.0))')} AS flow_ab, {r4('least(greatest(-p.b_net, 0.0), greatest(p.a_net, 0.0))')} AS flow_ba FROM pair_hands p LEFT JOIN rsp x ON x.hand = p.hand AND x.responder = p.a AND x.aggressor = p.b LEFT JOIN rsp y ON y.hand = p.hand AND y.responder = p.b AND y.aggressor = p.a WHERE p.a_raises > 0 OR p.b_raises > 0 OR p.a_n + p.b_n > 2")
-def q06_pair_hands(spark: Spark, sf: str) -> DataFrame:
-    """Both seats, responses both ways and transfer flows of each pair and hand, where either took part. All joins are on the hand."""
-    r = lens.responses(spark, sf).groupBy("hand", "actor", "aggressor").agg(F.count_if(F.col("act") == "fold").alias("f"))
-    p = lens.pair_hands(spark, sf)
-    ab = r.select("hand", F.col("actor").alias("a"), F.col("aggressor").alias("b"), F.col("f").alias("a_folds_to_b"))
-    ba = r.select("hand", F.col("actor").alias("b"), F.col("aggressor").alias("a"), F.col("f").alias("b_folds_to_a"))
-    t = p.join(ab, ["hand", "a", "b"], "left").join(ba, ["hand", "a", "b"], "left").filter("a_raises > 0 or b_raises > 0 or a_n + b_n > 2")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return t.select("hand", "a", "b", "phase", (F.col("a_n") + F.col("b_n")).alias("acts"), "a_raises", "b_raises", zero("a_folds_to_b"), zero("b_folds_to_a"), F.expr(r4("least(greatest(-a_net, 0.0), greatest(b_net, 0.0))")).alias("flow_ab"), F.expr(r4("least(greatest(-b_net, 0.0), greatest(a_net, 0.0))")).alias("flow_ba"))
-
-
 @query("WITH " + lens.ACTS_SQL + " SELECT hand, no, actor, act, count(*) OVER w AS before, round(coalesce(sum(amount) OVER w, 0.0), 4) AS pot, count(*) FILTER (act = 'raise') OVER w AS raises, round(coalesce(sum(CASE WHEN act = 'raise' THEN amount END) OVER w, 0.0) / (coalesce(sum(amount) OVER w, 0.0) + 1e-3), 6) AS aggression FROM acts WINDOW w AS (PARTITION BY hand ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def q07_decision_state(spark: Spark, sf: str) -> DataFrame:
     w = W.before(["hand"], ["no"])
@@ -171,18 +159,6 @@ def _contrast_sql(world: str = "seats") -> str:
  h AS (SELECT w.actor, partner, count(*) AS n1, {sums} FROM w JOIN pres p ON p.hand = w.hand AND p.actor = w.actor GROUP BY w.actor, partner) SELECT h.actor, h.partner, n1, n - n1 AS n0, {', '.join(out)} FROM h JOIN al USING (actor)"""
 
 
-@query("WITH " + lens.SEATS_SQL + _contrast_sql())
-def q14_presence_contrast(spark: Spark, sf: str) -> DataFrame:
-    return _contrast(spark, sf)
-
-
-@query("WITH " + lens.SEATS_SQL + ", c AS (SELECT * FROM (" + "WITH x AS (SELECT 1)" + _contrast_sql() + ")) SELECT least(actor, partner) AS a, greatest(actor, partner) AS b, round(avg(d_raises) + 0.000000137, 5) AS mean_d, min(t_raises) AS min_t, max(t_raises) AS max_t FROM c GROUP BY ALL")
-def q15_contrast_pairs(spark: Spark, sf: str) -> DataFrame:
-    """Both directions of the contrast folded into one row a pair."""
-    c = _contrast(spark, sf)
-    return c.groupBy(F.least("actor", "partner").alias("a"), F.greatest("actor", "partner").alias("b")).agg(F.round(F.avg("d_raises") + 0.000000137, 5).alias("mean_d"), F.min("t_raises").alias("min_t"), F.max("t_raises").alias("max_t"))
-
-
 @query("WITH " + lens.ACTS_SQL + _FREQ + ", e AS (SELECT slot, -sum(p * ln(p)) AS h FROM pr GROUP BY slot) SELECT hand, actor, round(sum(surprise - h), 6) AS excess FROM sp JOIN e ON e.slot = least(no, 3) GROUP BY hand, actor")
 def q16_entropy_adjusted(spark: Spark, sf: str) -> DataFrame:
     s = surprise(spark, sf)
@@ -190,15 +166,6 @@ def q16_entropy_adjusted(spark: Spark, sf: str) -> DataFrame:
     return s.join(e, "slot").groupBy("hand", "actor").agg(F.round(F.sum(F.col("surprise") - F.col("h")), 6).alias("excess"))
 
 
-@query("WITH " + lens.SCORES_SQL + ", e AS (SELECT pair_id, hand, a AS player, s_gen FROM hand_scores UNION ALL SELECT pair_id, hand, b, s_gen FROM hand_scores), m AS (SELECT hand, player, max(s_gen) AS top FROM e GROUP BY hand, player), d AS (SELECT e.pair_id, e.hand, max(CASE WHEN m.top > e.s_gen THEN 1 ELSE 0 END) AS dom, max(e.s_gen) AS s FROM e JOIN m USING (hand, player) GROUP BY e.pair_id, e.hand) SELECT pair_id, round(sum(dom * s) / sum(s), 6) AS dom FROM d GROUP BY pair_id HAVING sum(s) > 0")
-def q17_dominance(spark: Spark, sf: str) -> DataFrame:
-    """The score-weighted share of a pair's hands in which another pair of one of its players scores more."""
-    e = lens.hand_scores(spark, sf).select("pair_id", "hand", "s_gen", F.explode(F.array("a", "b")).alias("player"))
-    m = e.groupBy("hand", "player").agg(F.max("s_gen").alias("top"))
-    d = e.join(m, ["hand", "player"]).groupBy("pair_id", "hand").agg(F.max((F.col("top") > F.col("s_gen")).cast("int")).alias("dom"), F.max("s_gen").alias("s"))
-    return d.groupBy("pair_id").agg(F.sum("s").alias("t"), F.round(F.try_divide(F.sum(F.col("dom") * F.col("s")), F.sum("s")), 6).alias("dom")).filter("t > 0").drop("t")
-
-
 _POOL = "max(s) AS mx, round(avg(s), 6) AS mean, round(avg(CASE WHEN k <= 3 THEN s END), 6) AS top3, round(avg(CASE WHEN k <= 5 THEN s END), 6) AS top5, count(*) FILTER (s > 0.5) AS n50, count(*) FILTER (s > 0.2) AS n20, round(sum(s), 5) AS total, round(max(CASE WHEN c10 >= 3 THEN m10 END), 6) AS win10"
 
 
@@ -214,11 +181,6 @@ def _pool_sql(source: str) -> str:
     return f", p AS (SELECT pair_id, s_gen AS s, row_number() OVER (PARTITION BY pair_id ORDER BY s_gen DESC, hand) AS k, avg(s_gen) OVER w AS m10, count(*) OVER w AS c10 FROM {source} WINDOW w AS (PARTITION BY pair_id ORDER BY started, hand ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) SELECT pair_id, {_POOL} FROM p GROUP BY pair_id"
 
 
-@query("WITH " + lens.SCORES_SQL + _pool_sql("hand_scores"))
-def q18_pooled(spark: Spark, sf: str) -> DataFrame:
-    return pooled(lens.hand_scores(spark, sf))
-
-
 @query("WITH " + lens.PAIRS_SQL + ", e AS (SELECT pair_id, a AS player, score FROM pairs UNION ALL SELECT pair_id, b, score FROM pairs), k AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY score DESC, pair_id) AS r, count(*) OVER (PARTITION BY player) AS n FROM e) SELECT pair_id, CAST(min(r) AS BIGINT) AS best_rank, CAST(max(r) AS BIGINT) AS worst_rank, CAST(max(n) AS BIGINT) AS rivals FROM k GROUP BY pair_id")
 def q19_context(spark: Spark, sf: str) -> DataFrame:
     e = lens.pairs(spark, sf).select("pair_id", "score", F.explode(F.array("a", "b")).alias("player"))
@@ -232,18 +194,6 @@ def q20_window_world(spark: Spark, sf: str) -> DataFrame:
     return pooled(lens.hand_scores(spark, sf).filter("started >= timestamp'1996-01-01' and started < timestamp'2000-01-01'"))
 
 
-@query("WITH " + lens.SEATS_SQL + _contrast_sql("(SELECT * FROM seats WHERE started >= TIMESTAMP '1996-01-01' AND started < TIMESTAMP '2000-01-01')"))
-def q21_window_contrast(spark: Spark, sf: str) -> DataFrame:
-    s = lens.seats(spark, sf).filter("started >= timestamp'1996-01-01' and started < timestamp'2000-01-01'")
-    presence = P.explode_pairs(s, "hand", "actor", ordered=True).select("hand", F.col("a").alias("actor"), F.col("b").alias("partner"))
-    c = C.complement(s, presence, "hand", "actor", "partner", _METRICS)
-    out = [F.col(k) for k in ("actor", "partner", "n1", "n0")]
-    for m in _METRICS:
-        d, t = C.welch(F.col("n1"), F.col(f"s1_{m}"), F.col(f"ss1_{m}"), F.col("n0"), F.col(f"s0_{m}"), F.col(f"ss0_{m}"))
-        out += [F.round(d, 6).alias(f"d_{m}"), F.round(t, 5).alias(f"t_{m}")]
-    return c.select(*out)
-
-
 _GAIN = lens.SEATS_SQL + _RESP_CTE + ", gn AS (SELECT hand, actor, aggressor, sum(CASE WHEN act = 'fold' THEN 1.0 ELSE -0.5 END) AS gain, phase FROM responses GROUP BY ALL)"
 
 
@@ -262,12 +212,6 @@ def q23_directions_folded(spark: Spark, sf: str) -> DataFrame:
     return d.groupBy(F.least("actor", "aggressor").alias("a"), F.greatest("actor", "aggressor").alias("b")).agg(F.round(F.avg("g"), 6).alias("mean"), F.round(F.min("g"), 6).alias("lo"), F.round(F.max("g"), 6).alias("hi"))
 
 
-@query("WITH " + lens.SCORES_SQL + " SELECT pair_id, hand, greatest(s_directed_transfer, s_soft_play, s_coordinated_isolation) AS best, round(-ln(s_gen + 1e-6), 5) AS nll, CAST(s_gen < greatest(s_directed_transfer, s_soft_play, s_coordinated_isolation) AS INTEGER) AS disagrees FROM hand_scores")
-def q24_solver_surprisal(spark: Spark, sf: str) -> DataFrame:
-    best = F.greatest("s_directed_transfer", "s_soft_play", "s_coordinated_isolation")
-    return lens.hand_scores(spark, sf).select("pair_id", "hand", best.alias("best"), F.round(-F.ln(F.col("s_gen") + 1e-6), 5).alias("nll"), (F.col("s_gen") < best).cast("int").alias("disagrees"))
-
-
 @query("WITH " + lens.ACTS_SQL + ", p AS (SELECT x.hand, x.no, x.actor, y.actor AS partner, max(y.no) AS pno, count(*) FILTER (y.act = 'raise') AS partner_raises FROM acts x JOIN acts y ON y.hand = x.hand AND y.actor <> x.actor AND y.no < x.no GROUP BY ALL) SELECT p.hand, p.no, p.actor, p.partner, p.partner_raises, y.act AS partner_last, y.amount AS partner_amount FROM p JOIN acts y ON y.hand = p.hand AND y.no = p.pno")
 def q25_partner_state(spark: Spark, sf: str) -> DataFrame:
     """A member's decisions with the partner's public state before each."""

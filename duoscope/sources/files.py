@@ -86,3 +86,64 @@ class Registry:
         if not self.exists(path):
             make().write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.parquet(path)
+
+
+class Steps:
+    """Named steps with what they need; each runs once and leaves a marker in a shared folder."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root, self.steps = spark, root, {}
+
+    def add(self, name: str, run: Callable[[], object], needs: list[str] | None = None) -> None:
+        self.steps[name] = (run, needs or [])
+
+    def done(self, name: str) -> bool:
+        return _file_system(self.spark, f"{self.root}/{name}.done", lambda fs, at: fs.exists(at))
+
+    def run(self) -> None:
+        """Runs what has no marker yet, after what it needs. A step that fails leaves none and ends the run."""
+        seen: set[str] = set()
+
+        def visit(name: str) -> None:
+            if name in seen:
+                return
+            seen.add(name)
+            run, needs = self.steps[name]
+            for other in needs:
+                visit(other)
+            if not self.done(name):
+                run()
+                put_text(self.spark, f"{self.root}/{name}.done", "")
+
+        for name in self.steps:
+            visit(name)
+
+
+def _file_system(spark: SparkSession, path: str, use: Callable):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return use(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file through the file system that Spark uses."""
+
+    def use(fs, at) -> None:
+        out = fs.create(at, True)
+        out.write(text.encode())
+        out.close()
+
+    _file_system(spark, path, use)
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    return spark.read.option("wholetext", True).text(path).first()[0]
+
+
+def float_text(x: Column) -> Column:
+    """A double's shortest text, with exponents as 1e-07 rather than 1.0E-7, and plain digits from 1e-04 up to 1e16."""
+    text = x.cast("string")
+    mantissa, exponent = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", ""), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    small = F.concat(mantissa, F.lit("e-"), F.lpad((-exponent).cast("string"), 2, "0"))
+    large = F.concat(mantissa, F.lit("e+"), F.lpad(exponent.cast("string"), 2, "0"))
+    digits = F.regexp_replace(F.format_string("%.20f", x), r"(\.\d+?)0+$", "$1")
+    return F.when(exponent.isNull(), text).when(exponent < -4, small).when(exponent >= 16, large).otherwise(digits)
