@@ -134,3 +134,37 @@ def canonical(hands: tuple[tuple[int, int], tuple[int, int]], board: tuple[int,
         a, b = (tuple(sorted(map(to, h))) for h in hands)
         keys.append((min(a, b), max(a, b), tuple(sorted(map(to, board))), a > b))
     return min(keys)
+
+
+def sampled_equities(hands: list[tuple[int, int]], board: list[int], n: int, seed: int) -> np.ndarray:
+    """equities() over n run-outs drawn without replacement within each, by the seed alone."""
+    used = {c for h in hands for c in h} | set(board)
+    deck = np.array([c for c in range(52) if c not in used])
+    runs = deck[np.argsort(np.random.default_rng(seed).random((n, len(deck))), axis=1)[:, : 5 - len(board)]]
+    scores = np.stack([best(np.concatenate([np.tile([*h, *board], (n, 1)), runs], axis=1)) for h in hands], axis=1)
+    wins = scores == scores.max(axis=1, keepdims=True)
+    return (wins / wins.sum(axis=1, keepdims=True)).mean(axis=0)
+
+
+def matchup_key(hands: tuple[tuple[int, int], tuple[int, int]], board: tuple[int, ...] = ()) -> tuple[int, bool]:
+    """canonical() as one number, a seed for its matchup, and whether the hands were exchanged."""
+    a, b, cards, flipped = canonical(hands, board)
+    number_ = 0
+    for c in (*a, *b, *cards):
+        number_ = number_ * 64 + c + 1
+    return number_ % (1 << 61), flipped
+
+
+def at_fold_street(street: Column, flop: Column, turn: Column, river: Column, second: bool = False) -> Column:
+    """The folder's equity at the street of its fold; equities are the first side's, so the second side takes the rest. Null before the flop."""
+    own = F.when(street == 1, flop).when(street == 2, turn).when(street == 3, river)
+    return 1 - own if second else own
+
+
+def hand_texture(hole_ranks: Column, hole_suits: Column, ranks: Column, suits: Column) -> Column:
+    """suit_max, pairs_board, overcards, straight: of two cards with the board."""
+    high = F.array_max(ranks)
+    whole = texture(F.concat(ranks, hole_ranks), F.concat(suits, hole_suits))
+    return F.struct(
+        whole["suit_max"].alias("suit_max"), F.arrays_overlap(ranks, hole_ranks).cast("int").alias("pairs_board"), F.size(F.filter(hole_ranks, lambda x: x > high)).alias("overcards"), whole["straight"].alias("straight")
+    )

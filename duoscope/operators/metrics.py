@@ -59,3 +59,37 @@ def map_at(df: DataFrame, k: int, group: str, order: list, label: str) -> DataFr
 
 def composite(risk: Column, behaviour: Column, evidence: Column) -> Column:
     return 0.70 * risk + 0.20 * behaviour + 0.10 * evidence
+
+
+def table_bootstrap(sums: DataFrame, table: str, total: str, count: str, resamples: int) -> DataFrame:
+    """One row: delta (the mean), low and high (its 5 and 95 % points over resampled tables). sums has one row a table; draws follow a rule on their numbers."""
+    t = global_rank(sums.select(table, total, count), [F.col(table).asc()], "k_").withColumn("k_", F.col("k_") - 1)
+    n = sums.count()
+    b, i = F.col("b"), F.col("i")
+    spark = sums.sparkSession
+    draws = spark.range(resamples).select(F.col("id").alias("b")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long"))).alias("i"))
+    place = (b * 7919 + i * 104729 + b * i * 31 + (b * b) % 97) % 10007 % max(n, 1)
+    means = draws.select("b", place.alias("k_")).join(t, "k_").groupBy("b").agg((F.sum(total) / F.sum(count)).alias("mean"))  # a number a resample
+    points = means.agg(F.percentile("mean", F.array(F.lit(0.05), F.lit(0.95))).alias("p"))
+    return sums.agg((F.sum(total) / F.sum(count)).alias("delta")).crossJoin(F.broadcast(points)).select("delta", F.get("p", 0).alias("low"), F.get("p", 1).alias("high"))
+
+
+def mirror(pairs: DataFrame, score: str, label: str, key: str, top: int, wide: int) -> DataFrame:
+    """One row: ap, ap_mirror (without pairs that share a player with a positive one), how many are left out, and ranks of positives; pairs has a, b and label (below 0: unknown)."""
+    players = pairs.filter(F.col(label) == 1).select(F.explode(F.array("a", "b")).alias("p")).distinct()
+    side = lambda c: players.select(F.col("p").alias(c), F.lit(1).alias(f"t{c}"))
+    t = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("touch", F.col("ta").isNotNull() | F.col("tb").isNotNull())
+    order = [F.col(score).desc(), F.col(key).asc()]
+    rows = global_rank(t.select(key, score, F.col(label).alias("y_"), "label", "touch"), order, "r")
+    world = global_rank(rows.filter((F.col("y_") == 1) | ~F.col("touch")).select(key, score, "y_"), order, "wr")
+    whole = rows.agg(
+        F.count_if((F.col("y_") == 0) & F.col("touch")).alias("excluded"), F.median(F.when(F.col("y_") == 1, F.col("r"))).alias("median_rank"), F.count_if((F.col("y_") == 1) & (F.col("r") > top)).alias(f"over_{top}"),
+        F.count_if((F.col("r") <= wide) & (F.col("label") < 0)).alias(f"unknown_{wide}"),
+    )
+    inner = world.agg(F.median(F.when(F.col("y_") == 1, F.col("wr"))).alias("mirror_median_rank"))
+    ap = average_precision(rows, score, "y_", key).select(F.round("ap", 8).alias("ap"))
+    ap_mirror = average_precision(world, score, "y_", key).select(F.round("ap", 8).alias("ap_mirror"))
+    out = ap
+    for one in (ap_mirror, whole, inner):  # a row each
+        out = out.crossJoin(F.broadcast(one))
+    return out

@@ -314,14 +314,6 @@ def q36_band_rule(spark: Spark, sf: str) -> DataFrame:
     return W.global_rank(p.select("pair_id", key.alias("key")), [F.asc("key"), F.asc("pair_id")], "place").select("pair_id", F.col("place").cast("long").alias("place"))
 
 
-@query()
-def q37_slot_decoder(spark: Spark, sf: str) -> DataFrame:
-    """The five hands of each pair that are most probably listed; checked against enumeration in the tests."""
-    rows = F.sort_array(F.collect_list(F.struct("started", "hand", "s_gen")))
-    t = lens.hand_scores(spark, sf).groupBy("pair_id").agg(rows.alias("r"))
-    return t.select("pair_id", F.array_join(F.transform(D.decode(F.transform("r", lambda x: x["hand"]), F.transform("r", lambda x: x["s_gen"])), lambda h: h.cast("string")), ",").alias("hands"))
-
-
 @query("WITH " + lens.SCORES_SQL + ", o AS (SELECT pair_id, hand, evidence, coalesce(sum(evidence) OVER (PARTITION BY pair_id ORDER BY started, hand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM hand_scores) SELECT pair_id, hand, CASE WHEN evidence = 1 AND s < 5 THEN 1 WHEN s < 5 THEN 0 END AS lab FROM o")
 def q39_censored_labels(spark: Spark, sf: str) -> DataFrame:
     """Listed, surely not listed, or unknown because the list was full before."""
@@ -458,12 +450,6 @@ def mt05_map_from_scores(spark: Spark, sf: str) -> DataFrame:
     return M.map_at(lens.hand_scores(spark, sf), 5, "pair_id", [F.desc("s_gen"), "hand"], "evidence").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("ap"), 9).alias("map5"))
 
 
-@query("WITH " + lens.PAIRS_SQL + _AP + " SELECT round(0.7 * coalesce(avg(h / CAST(r AS DOUBLE)), 0) + 0.2 * 0.5 + 0.1 * 0.25, 9) AS score FROM h")
-def mt04_composite(spark: Spark, sf: str) -> DataFrame:
-    ap = M.average_precision(lens.pairs(spark, sf).filter("label >= 0"), "score", "label", "pair_id")
-    return ap.select(F.round(M.composite(F.col("ap"), F.lit(0.5), F.lit(0.25)), 9).alias("score"))
-
-
 @query("WITH " + lens.PAIRS_SQL + ", r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM pairs WHERE label >= 0) SELECT round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 9) AS auc FROM r")
 def mt06_auc(spark: Spark, sf: str) -> DataFrame:
     return M.auc(lens.pairs(spark, sf).filter("label >= 0").select("score", "label"), "score", "label").select(F.round("auc", 9).alias("auc"))
@@ -485,14 +471,6 @@ def mt11_bands(spark: Spark, sf: str) -> DataFrame:
     return p.groupBy(F.when(F.col("r") <= 10, "1-10").when(F.col("r") <= 30, "11-30").otherwise("rest").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("positive"))
 
 
-@query("WITH " + lens.PAIRS_SQL + ", g AS (SELECT regr_slope(score, CAST(shared AS DOUBLE)) AS k, regr_intercept(score, CAST(shared AS DOUBLE)) AS c FROM pairs) SELECT pair_id, round(score - (c + k * shared), 7) AS residual FROM pairs, g")
-def mt12_residual(spark: Spark, sf: str) -> DataFrame:
-    """What one regressor leaves of a score."""
-    p = lens.pairs(spark, sf).select("pair_id", "score", F.col("shared").cast("double").alias("x"))
-    g = p.agg(F.regr_slope("score", "x").alias("k"), F.regr_intercept("score", "x").alias("c"))
-    return p.join(F.broadcast(g)).select("pair_id", F.round(F.col("score") - (F.col("c") + F.col("k") * F.col("x")), 7).alias("residual"))
-
-
 @query("WITH " + lens.PAIRS_SQL + ", r AS (SELECT score, row_number() OVER (ORDER BY score DESC, pair_id) AS r FROM pairs) SELECT CAST(least((r - 1) // 10, 3) AS BIGINT) AS band, count(*) AS n, round(avg(score), 7) AS mean, round(quantile_cont(score, 0.5), 7) AS p50 FROM r GROUP BY ALL")
 def mt13_band_summary(spark: Spark, sf: str) -> DataFrame:
     p = W.global_rank(lens.pairs(spark, sf).select("pair_id", "score"), [F.desc("score"), F.asc("pair_id")], "r")

@@ -36,14 +36,6 @@ def md02_cross_fit(spark: Spark, sf: str) -> DataFrame:
     return L.cross_fit(_training(spark, sf), ["s_gen", "s_soft_play"], "y", "tbl", L.binary("y", iterations=2, depth=2)).select("pair_id", "hand", "fold", "score")
 
 
-@query()
-def md03_policy(spark: Spark, sf: str) -> DataFrame:
-    """Class probabilities of an action from its position and the pot before."""
-    a = lens.acts(spark, sf)
-    state = a.select("hand", F.col("no").cast("double").alias("no"), "size", F.when(F.col("act") == "raise", 0.0).when(F.col("act") == "call", 1.0).otherwise(2.0).alias("y"), F.col("hand").cast("string").alias("g"))
-    return L.cross_fit(state, ["no", "size"], "y", "g", L.multiclass("y", trees=3, depth=3)).select("hand", "no", "fold", "score")
-
-
 @query()
 def md04_size_residual(spark: Spark, sf: str) -> DataFrame:
     a = lens.acts(spark, sf).filter("act = 'raise'").select("hand", F.col("no").cast("double").alias("no"), "size", "amount", F.col("hand").cast("string").alias("g"))
@@ -72,44 +64,19 @@ def md15_masked(spark: Spark, sf: str) -> DataFrame:
     return L.masked(t, F.col("family"), {"soft_play": ["s_gen"]}).select("pair_id", "hand", "s_gen", "s_soft_play")
 
 
-@query("WITH " + lens.SCORES_SQL + ", n AS (SELECT pair_id, avg(s_gen) AS m FROM hand_scores WHERE evidence = 0 GROUP BY pair_id) SELECT pair_id, hand, round(s_gen - m, 9) AS s_gen FROM hand_scores JOIN n USING (pair_id) WHERE evidence = 1")
-def md07_ranking(spark: Spark, sf: str) -> DataFrame:
-    d = L.ranking_differences(lens.hand_scores(spark, sf), ["s_gen"], "evidence", "pair_id", "hand")
-    return d.select("pair_id", "hand", F.round("s_gen", 9).alias("s_gen"))
-
-
 @query()
 def pk06_hand_strength(spark: Spark, sf: str) -> DataFrame:
     """Category of the best five of seven cards; cards are dealt by a rule from the part's key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cards = (b["p_partkey"].to_numpy()[:, None] * 3 + 5 * np.arange(7)[None, :] ** 2 + 11 * np.arange(7)[None, :]) % 52
-            cards = np.stack([np.roll(np.arange(52), -int(r[0]))[[0, 5, 9, 14, 22, 31, 40]] for r in cards])
+            cards = (b["p_partkey"].to_numpy()[:, None] * 3 + np.array([0, 5, 9, 14, 22, 31, 40])) % 52
             score = K.best(cards)
             yield pd.DataFrame({"p_partkey": b["p_partkey"], "category": K.category(score), "score": score})
 
     return read(spark, sf, "part").select("p_partkey").mapInPandas(run, "p_partkey long, category long, score long")
 
 
-@query()
-def pk07_flop_equity(spark: Spark, sf: str) -> DataFrame:
-    """Exact equities of two hands on a flop, once for each distinct matchup and then joined back."""
-    t = read(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 13).cast("int").alias("k"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k in b["k"]:
-                deck = [(c * 5 + int(k) * 7) % 52 for c in range(7)]
-                e = K.equities([(deck[0], deck[1]), (deck[2], deck[3])], deck[4:7])
-                rows.append((int(k), float(e[0])))
-            yield pd.DataFrame(rows, columns=["k", "equity"])
-
-    distinct = t.select("k").distinct().mapInPandas(run, "k int, equity double")
-    return t.join(distinct, "k").select("p_partkey", F.round("equity", 9).alias("equity"))
-
-
 @query("WITH " + lens.ACTS_SQL + ", f AS (SELECT hand, min(no) FILTER (act = 'raise') AS r1 FROM acts GROUP BY hand), g AS (SELECT a.hand, f.r1, min(no) FILTER (act = 'raise' AND no > r1) AS r2 FROM acts a JOIN f USING (hand) GROUP BY a.hand, f.r1) SELECT a.hand, count(*) FILTER (act = 'raise') AS levels, count(*) FILTER (act = 'fold' AND (r1 IS NULL OR no < r1)) AS folds_before, count(*) FILTER (act = 'call' AND no > r1 AND no < r2) AS callers_between, coalesce(count(*) FILTER (act = 'call' AND no > r1 AND no < r2) > 0, FALSE) AS squeeze FROM acts a JOIN g USING (hand) GROUP BY a.hand")
 def pk18_isolation(spark: Spark, sf: str) -> DataFrame:
     """Raise levels, folds before the first raise, callers between the first two, and whether the second squeezes them; by windows, with no row state machine."""

@@ -14,6 +14,8 @@ from duoscope.operators import models as L
 from duoscope.operators import pairs as P
 from duoscope.operators import windows as W
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_swap_is_an_involution(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0, 0.25, 5.0)], "id long, A_x double, B_x double, share double, d double")
@@ -98,3 +100,140 @@ def test_cross_fit_holds_groups_out(spark):
     out = L.cross_fit(df, ["x"], "y", "g", L.binary("y", iterations=1, depth=2))
     assert out.count() == 200 and out.groupBy("g").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
     assert out.filter("score is null or score < 0 or score > 1").count() == 0
+
+
+def enumerate_lists(n, listed):
+    """Sums of probabilities over all 2**n truths: for each hand that it is true and listed."""
+    for truth in itertools.product((0, 1), repeat=n):
+        yield truth, [j for j in range(n) if truth[j] and listed(truth, j)]
+
+
+def probability(truth, p):
+    out = 1.0
+    for t, x in zip(truth, p, strict=True):
+        out *= x if t else 1 - x
+    return out
+
+
+def test_two_kinds_and_levels_match_enumeration(spark):
+    c, s, n = [0.9, 0.5, 0.7, 0.2, 0.8], [0.3, 0.6, 0.1, 0.9, 0.4], 5
+    slots, want = 2, [0.0] * n
+    for tc in itertools.product((0, 1), repeat=n):
+        for ts in itertools.product((0, 1), repeat=n):
+            w = probability(tc, c) * probability(ts, s)
+            for j in range(n):
+                first = tc[j] and sum(tc[:j]) < slots
+                # the second kind's slots: the other hands' first kind, and the second kind earlier
+                second = ts[j] and sum(tc[:j]) + sum(tc[j + 1 :]) + sum(ts[:j]) < slots
+                want[j] += w * (first + second)
+    df = spark.createDataFrame([(c, s, [0, 1, 0, -1, 1], [1.0, -1.0, 1.0, 1.0, -1.0])], "c array<double>, s array<double>, l array<int>, w array<double>")
+    got = df.select(D.two_kinds(F.col("c"), F.col("s"), 1.0, slots).alias("h"), D.by_level(F.col("c"), F.col("l"), 1, slots).alias("v"), D.redirected(F.col("c"), F.col("s"), F.col("w"), 0.02, 2.0, 1.0, slots).alias("r")).first()
+    assert got["h"] == pytest.approx(want)
+    levels = [0, 1, 0, -1, 1]
+    by = [0.0] * n
+    for truth, kept in enumerate_lists(n, lambda t, j: levels[j] >= 0 and sum(t[i] for i in range(n) if 0 <= levels[i] < levels[j] or levels[i] == levels[j] and i < j) < slots):
+        for j in kept:
+            by[j] += probability(truth, c)
+    assert got["v"] == pytest.approx(by)
+    top = sorted(range(n), key=lambda j: -want[j])[:slots]
+    way = [1, -1, 1, 1, -1]
+    main = np.sign(sum(way[j] * want[j] for j in top))
+    turn = lambda p: [x * 0.02 if w == -main else 2 * x / (1 + x) for x, w in zip(p, way, strict=True)]
+    again = spark.createDataFrame([(turn(c), turn(s))], "c array<double>, s array<double>").select(D.two_kinds(F.col("c"), F.col("s"), 1.0, slots).alias("h")).first()["h"]
+    assert got["r"] == pytest.approx(again)
+
+
+def test_empty_timelines_decode_to_nothing(spark):
+    df = spark.createDataFrame([([], [])], "c array<double>, s array<double>")
+    assert df.select(D.two_kinds(F.col("c"), F.col("s")).alias("h")).first()["h"] == []
+
+
+def test_sampled_equities_and_keys():
+    from duoscope.functions import cards
+
+    a, b, board = (48, 49), (0, 5), [10, 21, 34]
+    exact, sampled = cards.equities([a, b], board)[0], cards.sampled_equities([a, b], board, 400, 3)[0]
+    assert abs(exact - sampled) < 0.1 and cards.sampled_equities([a, b], board, 36, 7).tolist() == cards.sampled_equities([a, b], board, 36, 7).tolist()
+    suits = lambda c: 4 * (c // 4) + (c % 4 + 1) % 4
+    key, flipped = cards.matchup_key((a, b), tuple(board))
+    other, turned = cards.matchup_key((tuple(map(suits, b)), tuple(map(suits, a))), tuple(map(suits, board)))
+    assert key == other and flipped != turned
+    assert cards.equities([a, b, (30, 31)], [*board, 40]).sum() == pytest.approx(1.0)
+
+
+def test_known_hands_have_their_categories():
+    from duoscope.functions import cards
+
+    code = lambda text: [4 * cards.RANKS.index(x[0]) + cards.SUITS.index(x[1]) for x in text.split()]
+    known = {"Ah Kh Qh Jh Th 2c 3d": 8, "9c 9d 9h 9s 2c 3d 4h": 7, "9c 9d 9h 4s 4c 3d 2h": 6, "Ah 9h 7h 4h 2h Kc Qd": 5, "Ah 2c 3d 4s 5h Kc Kd": 4, "9c 9d 9h Ks 2c 3d Jh": 3, "9c 9d Kh Ks 2c 3d Jh": 2, "9c 9d Kh Qs 2c 3d Jh": 1, "9c 8d Kh Qs 2c 3d Jh": 0}
+    assert cards.category(cards.best(np.array([code(x) for x in known]))).tolist() == list(known.values())
+
+
+def test_hash_queries_have_their_values(spark):
+    import zlib
+
+    from duoscope.plans import registry, scalars  # noqa: F401
+
+    rows = registry.QUERIES["hs01_crc32_half"](spark, SF).collect()
+    assert rows and all(r["half"] == zlib.crc32(str(r["o_orderkey"]).encode()) & 1 for r in rows)
+    sides = {}
+    nation = dict(map(tuple, spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey", "s_nationkey").collect()))
+    for r in registry.QUERIES["hs02_table_parity"](spark, SF).collect():
+        assert sides.setdefault(nation[r["s_suppkey"]], r["side"]) == r["side"] and r["side"] in (0, 1)
+
+
+def test_learners_beat_chance_where_there_is_something_to_learn(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for t in range(12):
+        for k in range(40):
+            x, z = rng.random(), rng.random()
+            rows.append((f"p{t}_{k % 4}", k, str(t), float(x), float(z), float(rng.random() < 0.1 + 0.8 * x)))
+    df = spark.createDataFrame(rows, "pair_id string, hand long, tbl string, x double, z double, y double").withColumn("e", F.col("y").cast("int"))
+
+    def auc(out):
+        return M.auc(out.select("score", F.col("y").cast("int").alias("l")), "score", "l").first()[0]
+
+    best = auc(df.withColumn("score", F.col("x")))  # what decides the label, but for chance
+    assert auc(L.cross_fit(df, ["x", "z"], "y", "tbl", L.binary("y", iterations=5, depth=2))) > best - 0.05
+    assert auc(L.ranker(df, ["x", "z"], "e", "pair_id", "hand", "tbl")) > best - 0.02
+    whole = L.cross_fit(df, ["x", "z"], "y", "tbl", L.multiclass("y", trees=5, depth=3), vector=True).select("score").first()[0]
+    assert len(whole) == 2 and sum(whole) == pytest.approx(1.0)
+    roles = df.select("pair_id", "hand", "tbl", F.col("x").alias("A_x"), F.col("z").alias("B_x"), (F.col("x") - F.col("z")).alias("gap"), (F.col("x") > F.col("z")).cast("double").alias("y"))
+    both = L.both_ways(roles.withColumn("y", F.lit(1.0) * (F.abs("gap") > 0.3).cast("double")), ["A_x", "B_x", "gap"], "y", "tbl", L.binary("y", iterations=5, depth=3), negate=["gap"], keys=["pair_id", "hand"])
+    joined = both.join(roles.select("pair_id", "hand", (F.abs("gap") > 0.3).cast("double").alias("y")), ["pair_id", "hand"])
+    assert both.count() == df.count() and auc(joined) > 0.9
+
+
+def test_steps_run_once_and_in_order(spark, tmp_path):
+    from duoscope.sources import files
+
+    ran = []
+    steps = files.Steps(spark, f"file://{tmp_path}/s")
+    steps.add("b", lambda: ran.append("b"), ["a"])
+    steps.add("a", lambda: ran.append("a"))
+    steps.run()
+    steps.run()
+    assert ran == ["a", "b"]
+
+
+def test_float_text_is_the_other_spelling(spark):
+    from duoscope.sources import files
+
+    values = [1e-7, 1.5e-5, 0.0001, 0.25, 1.0, 123456789.5, 1e15, 1e16, 1.25e300, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r["t"] for r in df.select(files.float_text(F.col("v")).alias("t")).collect()]
+    assert [float(x) for x in got] == values and got == [repr(v) for v in values]
+
+
+def test_written_tables_are_discarded(spark):
+    import os
+
+    from duoscope.runtime import discard, materialize
+
+    df = materialize(spark.range(5), "gone")
+    path = df.inputFiles()[0].removeprefix("file:").lstrip("/")
+    assert os.path.exists(f"/{path}") and df.count() == 5
+    discard(df)
+    discard(df)
+    assert not os.path.exists(f"/{path}")
