@@ -143,7 +143,7 @@ def float_text(x: Column) -> Column:
     """A double's shortest text, with exponents as 1e-07 rather than 1.0E-7, and plain digits from 1e-04 up to 1e16."""
     text = x.cast("string")
     mantissa, exponent = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", ""), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-    small = F.concat(mantissa, F.lit("e-"), F.lpad((-exponent).cast("string"), 2, "0"))
-    large = F.concat(mantissa, F.lit("e+"), F.lpad(exponent.cast("string"), 2, "0"))
+    two = lambda e: F.when(e < 10, F.concat(F.lit("0"), e.cast("string"))).otherwise(e.cast("string"))
+    small, large = F.concat(mantissa, F.lit("e-"), two(-exponent)), F.concat(mantissa, F.lit("e+"), two(exponent))
     digits = F.regexp_replace(F.format_string("%.20f", x), r"(\.\d+?)0+$", "$1")
     return F.when(exponent.isNull(), text).when(exponent < -4, small).when(exponent >= 16, large).otherwise(digits)
