@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -106,16 +107,17 @@ class Tokens(NamedTuple):
 
 
 def tokens(raws: list[bytes], units: Units) -> Tokens:
-    index: dict[bytes, int] = {END: 0}
-    put = index.setdefault
-    parts = [[put(w, len(index)) for w in raw.lower().split()] for raw in raws]
+    parts = [raw.lower().split() for raw in raws]
     for p in parts:
-        p.append(0)
+        p.append(END)
     counts = np.array([len(p) for p in parts], np.int64)
-    ids = np.fromiter((x for p in parts for x in p), np.int64, int(counts.sum()))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in index), np.uint64, len(index))
+    n = int(counts.sum())
+    index: dict[bytes, int] = {}
+    first = np.fromiter(map(index.setdefault, chain.from_iterable(parts), range(n)), np.int64, n)  # where each word is met first
+    ids = (np.cumsum(first == np.arange(n)) - 1)[first]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, index, repeat(42)), np.uint64, len(index))
     first = CLASSES * SIZE - SHARED
-    unit = np.array([units.own.get(w, -1) for w in index], np.int64)
+    unit = np.fromiter(map(units.own.get, index, repeat(-1)), np.int64, len(index))
     rare = unit < 0
     tree = (hashes % np.uint64(SHARED)).astype(np.int64)
     unit = np.where(rare, first + tree, unit)
@@ -262,7 +264,11 @@ def descend(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.n
         order = np.argsort(rows[:, k], kind="stable")
         sorted_ = rows[order, k]
         first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-        at, g = sorted_[first], np.add.reduceat(np.take(grad, order, axis=0), first, axis=0)
+        at, g, n = sorted_[first], np.take(grad, order[first], axis=0), np.diff(first, append=len(order))
+        many = np.flatnonzero(n > 1)
+        if len(many):  # most rows are met once
+            inside, size = np.flatnonzero(np.repeat(n > 1, n)), n[many]
+            g[many] = np.add.reduceat(np.take(grad, order[inside], axis=0), np.cumsum(size) - size, axis=0)
         s = np.take(squares, at) + np.einsum("ij,ij->i", g, g) / g.shape[1]
         squares[at] = s
         g *= (rate / np.sqrt(s))[:, None]
@@ -459,7 +465,7 @@ def counts_of(own: Tokens, units: Units) -> np.ndarray:
     """Counts of distinct tokens, where all words have a leaf or a unit."""
     at, known = found_in(units.tail, own.hashes)
     rare = np.where(known, units.tail.counts[at], 0) if len(units.tail.counts) else np.zeros(len(at), np.int64)
-    return np.where([w in units.own for w in own.unique], np.round(units.mass[own.unit] - 0.5).astype(np.int64), rare)
+    return np.where(own.unit < CLASSES * SIZE - SHARED, np.round(units.mass[own.unit] - 0.5).astype(np.int64), rare)
 
 
 def by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
