@@ -32,7 +32,9 @@ TRAIN_WORDS = 6_000_000
 FOLD = (5, 0)
 BITS, DIM, FILTERS, WIDTHS = 16, 16, 16, (1, 2, 3)
 BEGINNINGS, ENDS = (3, 4, 5, 6, 7, 8, 9), (3, 5)
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
+#: Bytes of text whose responses a worker holds at a time.
+HELD_BYTES = 1 << 20
 #: Toxic calibration rows from which a language's own threshold counts more than the common one.
 EVEN_ROWS = 25
 
@@ -262,7 +264,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         claim("toxicity")
         own, limits = shared.value
         embed = Embedder(own.table) if own else None
-        for batch in slices(batches, "text_"):
+        for batch in slices(batches, "text_", HELD_BYTES):
             p = scores(own, embed, [text_bytes(t) for t in batch.column("text_").to_pylist()])
             limit = np.array([limits.get(x, 0.5) for x in batch.column("lang_").to_pylist()])
             held = [crc_mod(x, fold[0]) == fold[1] for x in batch.column("id_").to_pylist()]
@@ -287,7 +289,7 @@ def mark_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         claim("toxicity")
         own, limits = shared.value
         embed = Embedder(own.table) if own else None
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, HELD_BYTES):
             p = scores(own, embed, [text_bytes(t) for t in batch.column(text_col).to_pylist()])
             yield batch.append_column(MARK, pa.array(p >= np.array([limits.get(x, 0.5) for x in batch.column(lang_col).to_pylist()])))
 
