@@ -3,7 +3,7 @@
 Vectors are made whole numbers (floor of scale * x) and cut into equal parts; each part position has a codebook. They are written once, bucketed
 by a row number; each round's assignments are written in the same buckets, so a round joins a vector with its last assignment without a
 shuffle. What a round shuffles are the plus and minus contributions of parts whose assignment changed, summed in each Arrow batch beforehand;
-they are added to the running whole-number sums, which are written as a small table. The driver sees codebooks only (parts x entries x width).
+each task adds its own up, and they join the running whole-number sums, which are written as a small table. The driver sees codebooks only (parts x entries x width).
 
 Results by definition:
 * A vector that is null or empty, has a null or non-finite component or one beyond 2^70, or whose length is not the table's (the length that
@@ -127,8 +127,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _round(joined: DataFrame, books: Codebooks, first: bool) -> DataFrame:
-    """From row_, vec_ and last_ to row_, codes and, in the first row of each batch, the batch's contributions."""
-    kind = pa.list_(pa.struct([("slot", pa.int32()), ("v", pa.decimal128(38, 0))]))
+    """From row_, vec_ and last_ to row_, codes and, in the first row of each batch, the batch's contributions: the slots that change, and by how much."""
+    slots_of, values_of = pa.list_(pa.int32()), pa.list_(pa.decimal128(38, 0))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from decimal import Decimal
@@ -139,11 +139,38 @@ def _round(joined: DataFrame, books: Codebooks, first: bool) -> DataFrame:
             q = books.whole(_matrix(batch.column("vec_")))
             codes, _ = books.assign(q)
             last = None if first else np.frombuffer(b"".join(batch.column("last_").to_pylist()), np.uint8).reshape(codes.shape)
-            delta = [{"slot": k, "v": Decimal(v)} for k, v in books.changes(q, codes, last).items()]
+            delta = books.changes(q, codes, last)
+            rest = [None] * (batch.num_rows - 1)
             packed = pa.array([c.tobytes() for c in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row_"), packed, pa.array([delta or None] + [None] * (batch.num_rows - 1), kind)], names=["row_", "codes", "delta"])
+            slots, values = ([list(x)] if delta else [None] for x in (delta, map(Decimal, delta.values())))
+            yield pa.RecordBatch.from_arrays([batch.column("row_"), packed, pa.array(slots + rest, slots_of), pa.array(values + rest, values_of)], names=["row_", "codes", "slots", "changes"])
 
-    return joined.mapInArrow(run, "row_ long, codes binary, delta array<struct<slot: int, v: decimal(38, 0)>>")
+    return joined.mapInArrow(run, "row_ long, codes binary, slots array<int>, changes array<decimal(38, 0)>")
+
+
+def running_sums(assigned: DataFrame, before: DataFrame | None, size: int) -> tuple[DataFrame, bool]:
+    """(the running sums with a round's contributions added, written; whether there were any).
+
+    Each task adds its batches' contributions up to one array, so it hands on a row a slot at most.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from decimal import Decimal
+
+        total = [0] * size
+        for batch in batches:
+            for slots, values in zip(batch.column("slots").to_pylist(), batch.column("changes").to_pylist(), strict=True):
+                for k, v in zip(slots, values, strict=True):
+                    total[k] += int(v)
+        found = {k: Decimal(v) for k, v in enumerate(total) if v}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.decimal128(38, 0))], names=["slot", "v"])
+
+    change = materialize(assigned.select("slots", "changes").filter("slots is not null").mapInArrow(run, "slot int, v decimal(38, 0)"), "contributions")
+    moved = not change.isEmpty()
+    rows = change if before is None else before.unionByName(change)
+    total = materialize(rows.groupBy("slot").agg(F.sum("v").cast("decimal(38, 0)").alias("v")), "running_sums")
+    discard(change)
+    return total, moved
 
 
 @dataclass(frozen=True)
@@ -179,10 +206,7 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         if last:
             joined = joined.join(last.frame.select("row_", F.col("codes").alias("last_")).hint("merge"), "row_")
         now = bucketed(_round(joined, books, last is None), buckets)
-        delta = now.frame.select(F.explode("delta").alias("d")).select("d.*")
-        total = (delta if sums is None else sums.unionByName(delta)).groupBy("slot").agg(F.sum("v").cast("decimal(38, 0)").alias("v"))
-        moved = sums is None or not delta.isEmpty()
-        total = materialize(total, "running_sums")
+        total, moved = running_sums(now.frame, sums, parts * entries * (books.width + 1))
         for old in (last and last.drop, sums and (lambda s=sums: discard(s))):
             if old:
                 old()
