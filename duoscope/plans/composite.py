@@ -14,7 +14,7 @@ from duoscope.operators import windows as W
 from duoscope.plans import lens
 from duoscope.plans.aggregates import complement
 from duoscope.plans.ordered import avg_rank_sql
-from duoscope.plans.registry import query, r4
+from duoscope.plans.registry import query, r9
 
 Spark = SparkSession
 
@@ -27,9 +27,9 @@ def q01_hands(spark: Spark, sf: str) -> DataFrame:
     return h.join(a, "hand", "left").select("hand", "phase", "t_rank", zero("n_acts"), zero("raises"), zero("actors"), (F.coalesce("raises", F.lit(0)) > 0).alias("any_raise"), F.round(F.coalesce("biggest", F.lit(0.0)), 4).alias("biggest"))
 
 
-@query("WITH " + lens.SEATS_SQL + f" SELECT hand, actor, n, raises, first_no, phase, tbl, {r4('net')} AS net, round(total, 4) AS total FROM seats")
+@query("WITH " + lens.SEATS_SQL + f" SELECT hand, actor, n, raises, first_no, phase, tbl, {r9('net')} AS net, round(total, 4) AS total FROM seats")
 def q02_seats(spark: Spark, sf: str) -> DataFrame:
-    return lens.seats(spark, sf).select("hand", "actor", "n", "raises", F.col("first_no").cast("long").alias("first_no"), "phase", "tbl", F.expr(r4("net")).alias("net"), F.round("total", 4).alias("total"))
+    return lens.seats(spark, sf).select("hand", "actor", "n", "raises", F.col("first_no").cast("long").alias("first_no"), "phase", "tbl", F.expr(r9("net")).alias("net"), F.round("total", 4).alias("total"))
 
 
 @query("WITH " + lens.RESPONSES_SQL + " SELECT hand, actor AS responder, aggressor, count(*) FILTER (act = 'fold') AS r_fold, count(*) FILTER (act = 'call') AS r_call, count(*) FILTER (act = 'raise') AS r_raise, max(amount) AS r_max FROM responses GROUP BY ALL")
@@ -96,12 +96,12 @@ def q10_size_residual(spark: Spark, sf: str) -> DataFrame:
     return r.join(other, "hand").filter("partner <> actor").groupBy("actor", "partner").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("res"), 2).alias("residual")).filter("n >= 2")
 
 
-@query("WITH " + lens.RESPONSES_SQL + ", c AS (SELECT hand, actor, aggressor, greatest(0, size - cut * 5 * (amount / 1000 + size)) AS regret FROM responses WHERE act = 'call') SELECT actor, aggressor, count(*) AS n, round(sum(regret) + 0.0000137, 4) AS total, round(max(regret) + 0.0000137, 4) AS most FROM c GROUP BY ALL")
+@query("WITH " + lens.RESPONSES_SQL + ", c AS (SELECT hand, actor, aggressor, greatest(0, size - cut * 5 * (amount / 1000 + size)) AS regret FROM responses WHERE act = 'call') SELECT actor, aggressor, count(*) AS n, round(sum(regret), 8) AS total, round(max(regret), 8) AS most FROM c GROUP BY ALL")
 def q11_call_value(spark: Spark, sf: str) -> DataFrame:
     from duoscope.functions.cards import call_regret
 
     c = lens.responses(spark, sf).filter("act = 'call'").withColumn("regret", call_regret(F.col("size"), F.col("amount") / 1000, F.col("cut") * 5))
-    return c.groupBy("actor", "aggressor").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("regret") + 0.0000137, 4).alias("total"), F.round(F.max("regret") + 0.0000137, 4).alias("most"))
+    return c.groupBy("actor", "aggressor").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("regret"), 8).alias("total"), F.round(F.max("regret"), 8).alias("most"))
 
 
 _Q12 = (

@@ -71,9 +71,9 @@ def wn07_percentile(spark: Spark, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(W.percentile_rank(F.col("l_quantity"), ["l_suppkey"]), 6).alias("pct"))
 
 
-@query("WITH " + lens.SCORES_SQL + f" SELECT pair_id, hand, round((({avg_rank_sql('s_gen', 'pair_id')}) + 5 * ({avg_rank_sql('s_gen', 'tbl')}) / count(s_gen) OVER (PARTITION BY tbl)) / (count(s_gen) OVER (PARTITION BY pair_id) + 5) + 0.0000000137, 6) AS pct FROM hand_scores")
+@query("WITH " + lens.SCORES_SQL + f" SELECT pair_id, hand, (({avg_rank_sql('s_gen', 'pair_id')}) + 5 * ({avg_rank_sql('s_gen', 'tbl')}) / count(s_gen) OVER (PARTITION BY tbl)) / (count(s_gen) OVER (PARTITION BY pair_id) + 5) AS pct FROM hand_scores")
 def wn08_shrunk_percentile(spark: Spark, sf: str) -> DataFrame:
-    return lens.hand_scores(spark, sf).select("pair_id", "hand", F.round(W.shrunk_percentile(F.col("s_gen"), ["pair_id"], ["tbl"], 5.0) + 0.0000000137, 6).alias("pct"))
+    return lens.hand_scores(spark, sf).select("pair_id", "hand", W.shrunk_percentile(F.col("s_gen"), ["pair_id"], ["tbl"], 5.0).alias("pct"))
 
 
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders")

@@ -25,6 +25,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-def r4(x: str) -> str:
-    """SQL that rounds to four decimals for comparison. Amounts have four decimals, so their halves lie on rounding ties; the shift moves them off."""
-    return f"round(({x}) + 0.0000137, 4)"
+def r9(x: str) -> str:
+    """SQL that rounds to nine decimals for comparison: amounts of four decimals over up to 31 actors have no ties there. Negative zero becomes zero."""
+    return f"(round({x}, 9) + 0.0)"

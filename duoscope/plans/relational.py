@@ -10,7 +10,7 @@ from duoscope.functions import nulls
 from duoscope.operators import pairs as P
 from duoscope.operators import windows as W
 from duoscope.plans import lens
-from duoscope.plans.registry import query, r4
+from duoscope.plans.registry import query, r9
 from duoscope.runtime import read
 
 Spark = SparkSession
@@ -118,11 +118,11 @@ def prj10_pattern_columns(spark: Spark, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").filter("l_linenumber = 1").select(*[F.col(c).cast("timestamp").alias(c) if c == "l_shipdate" else c for c in read(spark, sf, "lineitem").columns if c.startswith("l_")])
 
 
-@query("WITH " + lens.PAIR_HANDS_SQL + f" SELECT hand, a, b, {r4('b_net')} AS A_net, {r4('a_net')} AS B_net, b_n AS A_n, a_n AS B_n, {r4('b_net - a_net')} AS direction FROM pair_hands")
+@query("WITH " + lens.PAIR_HANDS_SQL + f" SELECT hand, a, b, {r9('b_net')} AS A_net, {r9('a_net')} AS B_net, b_n AS A_n, a_n AS B_n, {r9('b_net - a_net')} AS direction FROM pair_hands")
 def prj11_swap_roles(spark: Spark, sf: str) -> DataFrame:
     t = lens.pair_hands(spark, sf).select("hand", "a", "b", F.col("a_net").alias("A_net"), F.col("b_net").alias("B_net"), F.col("a_n").alias("A_n"), F.col("b_n").alias("B_n"), (F.col("a_net") - F.col("b_net")).alias("direction"))
     out = P.swap_roles(t, negate=["direction"])
-    return out.select("hand", "a", "b", F.expr(r4("A_net")).alias("A_net"), F.expr(r4("B_net")).alias("B_net"), "A_n", "B_n", F.expr(r4("direction")).alias("direction"))
+    return out.select("hand", "a", "b", F.expr(r9("A_net")).alias("A_net"), F.expr(r9("B_net")).alias("B_net"), "A_n", "B_n", F.expr(r9("direction")).alias("direction"))
 
 
 @query("SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS idx FROM nation")
@@ -226,9 +226,9 @@ def jn07_anti(spark: Spark, sf: str) -> DataFrame:
     return read(spark, sf, "customer").select("c_custkey").join(read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-@query("WITH " + lens.PAIR_HANDS_SQL + " SELECT hand, a, b, a_n, b_n, " + f"{r4('a_net')} AS a_net, {r4('b_net')} AS b_net FROM pair_hands")
+@query("WITH " + lens.PAIR_HANDS_SQL + " SELECT hand, a, b, a_n, b_n, " + f"{r9('a_net')} AS a_net, {r9('b_net')} AS b_net FROM pair_hands")
 def jn08_two_roles(spark: Spark, sf: str) -> DataFrame:
-    return lens.pair_hands(spark, sf).select("hand", "a", "b", "a_n", "b_n", F.expr(r4("a_net")).alias("a_net"), F.expr(r4("b_net")).alias("b_net"))
+    return lens.pair_hands(spark, sf).select("hand", "a", "b", "a_n", "b_n", F.expr(r9("a_net")).alias("a_net"), F.expr(r9("b_net")).alias("b_net"))
 
 
 _DIRECTED = ", d AS (SELECT actor AS src, aggressor AS dst, count(*) AS n FROM responses GROUP BY actor, aggressor)"
@@ -325,9 +325,9 @@ def st02_pairs_by_array(spark: Spark, sf: str) -> DataFrame:
     return P.explode_pairs_array(lens.acts(spark, sf), "hand", "actor")
 
 
-@query("WITH " + lens.PAIR_HANDS_SQL + " SELECT hand, a, b, a_raises, b_raises, " + r4('least(greatest(-a_net, 0.0), greatest(b_net, 0.0))') + " AS flow FROM pair_hands")
+@query("WITH " + lens.PAIR_HANDS_SQL + " SELECT hand, a, b, a_raises, b_raises, " + r9('least(greatest(-a_net, 0.0), greatest(b_net, 0.0))') + " AS flow FROM pair_hands")
 def st03_pairs_carry(spark: Spark, sf: str) -> DataFrame:
-    return lens.pair_hands(spark, sf).select("hand", "a", "b", "a_raises", "b_raises", F.expr(r4("least(greatest(-a_net, 0.0), greatest(b_net, 0.0))")).alias("flow"))
+    return lens.pair_hands(spark, sf).select("hand", "a", "b", "a_raises", "b_raises", F.expr(r9("least(greatest(-a_net, 0.0), greatest(b_net, 0.0))")).alias("flow"))
 
 
 @query("WITH " + lens.SEATS_SQL + " SELECT x.actor AS a, y.actor AS b, count(*) AS n FROM seats x JOIN seats y ON x.hand = y.hand AND x.actor <> y.actor GROUP BY ALL")
