@@ -185,9 +185,9 @@ def micro(m: str) -> str:
     return f"CAST(round(CAST(p.{m} AS DOUBLE) * 1e6) AS HUGEINT)"
 
 
-def in_order(x: str) -> str:
-    """Sum of the quintiles' terms from the first to the last."""
-    return f"list_reduce(list({x} ORDER BY q5), lambda s, t: s + t)"
+def level(m: str) -> str:
+    """The mean of the quintiles' differences, weighted by presence."""
+    return f"sum(CAST(round(d_{m} * n1 * 1e9) AS HUGEINT))::DOUBLE / 1e9 / sum(n1)"
 
 
 def contrast_steps(metrics: tuple[str, ...], window: str = "TRUE") -> list[tuple[str, str]]:
@@ -211,7 +211,7 @@ def contrast_steps(metrics: tuple[str, ...], window: str = "TRUE") -> list[tuple
         ]
 
     steps = [*SEAT, *_STATES, ("world", f"SELECT * FROM ms WHERE {window}"), *welch("g", ""), *welch("q", ", q5")]
-    steps.append(("lq", "SELECT phase, actor, other, " + ", ".join(f"{in_order(f'd_{m} * n1')} / sum(n1) AS dl_{m}, {in_order(f'd_{m} * n1')} / sum(n1) / sqrt({in_order(f'n1 * n1 * v_{m}')} / CAST(sum(n1) * sum(n1) AS DOUBLE) + 1e-12) AS tl_{m}" for m in metrics) + " FROM wq GROUP BY phase, actor, other"))
+    steps.append(("lq", "SELECT phase, actor, other, " + ", ".join(f"{level(m)} AS dl_{m}, {level(m)} / sqrt(sum(n1 * n1 * v_{m}) / CAST(sum(n1) * sum(n1) AS DOUBLE) + 1e-12) AS tl_{m}" for m in metrics) + " FROM wq GROUP BY phase, actor, other"))
     steps.append(("oc", "SELECT g.phase, g.actor, g.other, g.n1, g.n0, " + ", ".join(f"g.d_{m} AS {m}_dg, g.d_{m} / sqrt(g.v_{m}) AS {m}_tg, l.dl_{m} AS {m}_dl, l.tl_{m} AS {m}_tl" for m in metrics) + " FROM wg g JOIN lq l ON l.phase = g.phase AND l.actor = g.actor AND l.other = g.other"))
     return steps
 
