@@ -181,11 +181,39 @@ def _pool_sql(source: str) -> str:
     return f", p AS (SELECT pair_id, s_gen AS s, row_number() OVER (PARTITION BY pair_id ORDER BY s_gen DESC, hand) AS k, avg(s_gen) OVER w AS m10, count(*) OVER w AS c10 FROM {source} WINDOW w AS (PARTITION BY pair_id ORDER BY started, hand ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) SELECT pair_id, {_POOL} FROM p GROUP BY pair_id"
 
 
-@query("WITH " + lens.PAIRS_SQL + ", e AS (SELECT pair_id, a AS player, score FROM pairs UNION ALL SELECT pair_id, b, score FROM pairs), k AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY score DESC, pair_id) AS r, count(*) OVER (PARTITION BY player) AS n FROM e) SELECT pair_id, CAST(min(r) AS BIGINT) AS best_rank, CAST(max(r) AS BIGINT) AS worst_rank, CAST(max(n) AS BIGINT) AS rivals FROM k GROUP BY pair_id")
+_CONTEXT = (
+    "WITH " + lens.SCORES_SQL + lens.PAIRS_SQL[len(lens.PAIR_HANDS_SQL) :] + """, e AS (SELECT pair_id, a AS player, score FROM pairs UNION ALL SELECT pair_id, b, score FROM pairs),
+ k AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY score DESC, pair_id) AS r, count(*) OVER (PARTITION BY player) AS n FROM e),
+ o AS (SELECT k.*, coalesce(z.score, 0.0) AS other, z.pair_id AS q FROM k LEFT JOIN k z ON z.player = k.player AND z.r = CASE WHEN k.r = 1 THEN 2 ELSE 1 END),
+ five AS (SELECT pair_id, hand, s_gen, k FROM (SELECT pair_id, hand, s_gen, row_number() OVER (PARTITION BY pair_id ORDER BY s_gen DESC, hand) AS k FROM hand_scores) WHERE k <= 5),
+ v AS (SELECT o.pair_id, o.q, count(*) / 5.0 AS share FROM o JOIN five x ON x.pair_id = o.pair_id JOIN five y ON y.pair_id = o.q AND y.hand = x.hand WHERE o.other > o.score GROUP BY o.pair_id, o.q, o.player),
+ w AS (SELECT pair_id, CAST(max(share) AS DOUBLE) AS ovl FROM v GROUP BY pair_id),
+ t AS (SELECT pair_id, max(CASE WHEN k = 1 THEN s_gen END) AS t1, max(CASE WHEN k = 3 THEN s_gen END) AS t3 FROM five GROUP BY pair_id)
+ SELECT pair_id, CAST(min(r) AS BIGINT) AS best_rank, CAST(max(r) AS BIGINT) AS worst_rank, CAST(max(n) AS BIGINT) AS rivals, max(other) AS ctx_other_max, min(other) AS ctx_other_min, max(score) - max(other) AS ctx_gap,
+   max(score) / (max(other) + 1e-6) AS ctx_ratio, coalesce(max(ovl), 0.0) AS ovl, max(t1) AS t1, max(t3) AS t3 FROM o LEFT JOIN w USING (pair_id) LEFT JOIN t USING (pair_id) GROUP BY pair_id"""
+)
+
+
+@query(_CONTEXT)
 def q19_context(spark: Spark, sf: str) -> DataFrame:
+    """A pair among the other pairs of its players: ranks, the best other pair's score, gap and ratio, and how many of the five best hands a better other pair shares.
+
+    A player's two best pairs settle its best other pair; lists of five meet through an index by pair and hand.
+    """
     e = lens.pairs(spark, sf).select("pair_id", "score", F.explode(F.array("a", "b")).alias("player"))
-    k = e.withColumns({"r": F.row_number().over(W.ordered(["player"], [F.desc("score"), "pair_id"])), "n": F.count(F.lit(1)).over(Window.partitionBy("player"))})
-    return k.groupBy("pair_id").agg(F.min("r").cast("long").alias("best_rank"), F.max("r").cast("long").alias("worst_rank"), F.max("n").alias("rivals"))
+    w = W.ordered(["player"], [F.desc("score"), "pair_id"])
+    both = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mine = F.struct("score", "pair_id")
+    k = e.withColumns({"r": F.row_number().over(w), "n": F.count(F.lit(1)).over(Window.partitionBy("player")), "o_": F.when(F.row_number().over(w) == 1, F.nth_value(mine, 2).over(both)).otherwise(F.first(mine).over(both))})
+    k = k.select("pair_id", "score", "r", "n", F.coalesce("o_.score", F.lit(0.0)).alias("other"), F.col("o_.pair_id").alias("q"), "player")
+    five = W.top_k(lens.hand_scores(spark, sf).select("pair_id", "hand", "s_gen"), 5, ["pair_id"], [F.desc("s_gen"), "hand"])
+    better = k.filter("other > score").select("pair_id", "q", "player").join(five.select("pair_id", "hand"), "pair_id")
+    shared = better.join(five.select(F.col("pair_id").alias("q"), "hand"), ["q", "hand"]).groupBy("pair_id", "q", "player").agg((F.count(F.lit(1)) / 5.0).alias("share"))
+    overlap = shared.groupBy("pair_id").agg(F.max("share").alias("ovl"))
+    best = five.groupBy("pair_id").agg(F.sort_array(F.collect_list("s_gen"), False).alias("s")).select("pair_id", F.get("s", F.lit(0)).alias("t1"), F.get("s", F.lit(2)).alias("t3"))
+    t = k.groupBy("pair_id").agg(F.min("r").cast("long").alias("best_rank"), F.max("r").cast("long").alias("worst_rank"), F.max("n").alias("rivals"), F.max("other").alias("ctx_other_max"), F.min("other").alias("ctx_other_min"), F.max("score").alias("score"))
+    t = t.join(overlap, "pair_id", "left").join(best, "pair_id", "left")
+    return t.select("pair_id", "best_rank", "worst_rank", "rivals", "ctx_other_max", "ctx_other_min", (F.col("score") - F.col("ctx_other_max")).alias("ctx_gap"), (F.col("score") / (F.col("ctx_other_max") + 1e-6)).alias("ctx_ratio"), F.coalesce("ovl", F.lit(0.0)).alias("ovl"), "t1", "t3")
 
 
 @query("WITH " + lens.SCORES_SQL + ", world AS (SELECT * FROM hand_scores WHERE started >= TIMESTAMP '1996-01-01' AND started < TIMESTAMP '2000-01-01')" + _pool_sql("world"))
@@ -222,13 +250,53 @@ def q25_partner_state(spark: Spark, sf: str) -> DataFrame:
     return g.select("hand", "no", "actor", "partner", "partner_raises", F.col("m.p_act").alias("partner_last"), F.col("m.p_amount").alias("partner_amount"))
 
 
-@query("WITH " + lens.SCORES_SQL + ", o AS (SELECT pair_id, hand, evidence, row_number() OVER w - 1 AS pos, coalesce(sum(evidence) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier, epoch(started) - lag(epoch(started)) OVER w AS gap FROM hand_scores WINDOW w AS (PARTITION BY pair_id ORDER BY started, hand)) SELECT pair_id, hand, pos, CAST(earlier AS BIGINT) AS earlier, CAST(gap AS DOUBLE) AS gap, CAST(earlier = 0 AND evidence = 1 AS INTEGER) AS first_sign FROM o")
+ONSETS = (80, 90, 95)
+
+
+def _onset_sql() -> str:
+    """The thresholds are read off sorted lists; prefix counts are counts of earlier rows by position."""
+    cuts = ", ".join(f"list_sort(list(s_gen))[CAST(floor((count(*) - 1) * {q / 100} + 0.5) AS BIGINT) + 1] AS c{q}" for q in ONSETS)
+    above = ", ".join(f"CAST(s_gen > c{q} AS INTEGER) AS a{q}" for q in ONSETS)
+    parts = ", ".join(f"sum(a{q}) OVER w - a{q} AS nb{q}, sum(a{q}) OVER p AS all{q}, min(CASE WHEN a{q} = 1 THEN sec END) OVER p AS t{q}" for q in ONSETS)
+    out = ", ".join(
+        f"CAST(nb{q} AS BIGINT) AS ons_nb{q}, nb{q} / (pos + 1.0::DOUBLE) AS ons_rb{q}, nb{q} / (all{q} + 1e-6::DOUBLE) AS ons_fb{q}, CAST(sec - t{q} AS DOUBLE) / (last - t{q} + 1e-6::DOUBLE) AS ons_dl{q}" for q in ONSETS
+    )
+    return (
+        "WITH " + lens.SCORES_SQL + f""", cuts AS (SELECT pair_id, {cuts} FROM hand_scores GROUP BY pair_id),
+ r AS (SELECT h.*, epoch(started) AS sec, {above} FROM hand_scores h JOIN cuts USING (pair_id)),
+ o AS (SELECT pair_id, hand, evidence, sec, row_number() OVER w - 1 AS pos, coalesce(sum(evidence) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier, sec - lag(sec) OVER w AS gap, count(*) OVER p AS n, max(sec) OVER p AS last,
+   coalesce(sum(CAST(s_gen AS DECIMAL(18, 9))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(CAST(s_gen AS DECIMAL(18, 9))) OVER p AS total, {parts}
+   FROM r WINDOW w AS (PARTITION BY pair_id ORDER BY started, hand), p AS (PARTITION BY pair_id))
+ SELECT pair_id, hand, pos, CAST(earlier AS BIGINT) AS earlier, CAST(gap AS DOUBLE) AS gap, CAST(earlier = 0 AND evidence = 1 AS INTEGER) AS first_sign, {out},
+   CAST(before AS DOUBLE) / (CAST(total AS DOUBLE) + 1e-6) AS ons_cums, pos / CAST(n AS DOUBLE) AS ons_tq FROM o"""
+    )
+
+
+@query(_onset_sql())
 def q27_onset(spark: Spark, sf: str) -> DataFrame:
+    """How much of a pair's suspicion comes before a hand: counts, densities, shares and distances since the first hand over the pair's 80, 90 and 95 % score.
+
+    Causal but for the pair's thresholds and totals. A threshold is the score nearest to that quantile's place, taken by rank, so no buffer holds a pair's scores.
+    """
     from duoscope.plans.ordered import seconds
 
     g, o = ["pair_id"], ["started", "hand"]
-    t = lens.hand_scores(spark, sf).withColumns({"pos": W.position(g, o).cast("long"), "earlier": W.exclusive_sum(F.col("evidence"), g, o), "sec": seconds("started")})
-    return t.select("pair_id", "hand", "pos", "earlier", (F.col("sec") - F.lag("sec").over(W.ordered(g, o))).alias("gap"), ((F.col("earlier") == 0) & (F.col("evidence") == 1)).cast("int").alias("first_sign"))
+    pair, in_time = Window.partitionBy("pair_id"), W.ordered(g, o)
+    t = lens.hand_scores(spark, sf).withColumns({"k_": W.position(g, ["s_gen", "hand"]), "n_": F.count(F.lit(1)).over(pair), "sec": seconds("started")})
+    place = lambda q: F.floor((F.col("n_") - 1) * (q / 100) + 0.5)
+    t = t.withColumns({f"c{q}": F.max(F.when(F.col("k_") == place(q), F.col("s_gen"))).over(pair) for q in ONSETS})
+    t = t.withColumns({f"a{q}": (F.col("s_gen") > F.col(f"c{q}")).cast("int") for q in ONSETS})
+    exact = F.col("s_gen").cast("decimal(18, 9)")
+    t = t.withColumns(
+        {"pos": W.position(g, o).cast("long"), "earlier": W.exclusive_sum(F.col("evidence"), g, o), "gap": F.col("sec") - F.lag("sec").over(in_time), "last_": F.max("sec").over(pair)}
+        | {"before_": W.exclusive_sum(exact, g, o).cast("double"), "total_": F.sum(exact).over(pair).cast("double")}
+        | {f"nb{q}": W.exclusive_sum(F.col(f"a{q}"), g, o) for q in ONSETS} | {f"all{q}": F.sum(f"a{q}").over(pair) for q in ONSETS} | {f"t{q}": F.min(F.when(F.col(f"a{q}") == 1, F.col("sec"))).over(pair) for q in ONSETS}
+    )
+    out = []
+    for q in ONSETS:
+        nb, start = F.col(f"nb{q}"), F.col(f"t{q}")
+        out += [nb.cast("long").alias(f"ons_nb{q}"), (nb / (F.col("pos") + 1.0)).alias(f"ons_rb{q}"), (nb / (F.col(f"all{q}") + 1e-6)).alias(f"ons_fb{q}"), ((F.col("sec") - start) / (F.col("last_") - start + 1e-6)).alias(f"ons_dl{q}")]
+    return t.select("pair_id", "hand", "pos", "earlier", "gap", ((F.col("earlier") == 0) & (F.col("evidence") == 1)).cast("int").alias("first_sign"), *out, (F.col("before_") / (F.col("total_") + 1e-6)).alias("ons_cums"), (F.col("pos") / F.col("n_")).alias("ons_tq"))
 
 
 _BLEND = f"0.6 * ({avg_rank_sql('s_gen', 'pair_id')}) / count(*) OVER (PARTITION BY pair_id) + 0.4 * ({avg_rank_sql('s_soft_play', 'pair_id')}) / count(*) OVER (PARTITION BY pair_id)"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duoscope.functions import cards as K
+from duoscope.operators import boosting as B
 from duoscope.operators import decode as D
 from duoscope.operators import metrics as M
 from duoscope.operators import models as L
@@ -243,7 +244,7 @@ def states(spark: Spark, sf: str) -> DataFrame:
 @query()
 def md03_policy(spark: Spark, sf: str) -> DataFrame:
     """Probabilities of all three classes, none by a model that saw the hand."""
-    t = L.cross_fit(states(spark, sf), ["no", "size", "month", "year", "pot"], "y", "g", L.multiclass("y", trees=20, depth=6), vector=True)
+    t = B.cross_fit(states(spark, sf), ["no", "size", "month", "year", "pot"], "y", "g", B.Settings("multinomial", 3, rounds=3, leaves=127), folds=2)
     return t.select("hand", "no", "fold", "y", *[F.get("score", k).alias(f"p_{n}") for k, n in enumerate(("raise", "call", "fold"))])
 
 
@@ -255,8 +256,9 @@ def roles(spark: Spark, sf: str) -> DataFrame:
 @query()
 def md05_symmetric(spark: Spark, sf: str) -> DataFrame:
     """Boosted trees with row weights, fitted on the rows and on the same with roles exchanged; a score is the mean of both ways."""
-    rows = roles(spark, sf).withColumn("weight", L.weights(F.col("evidence") * 2 - 1, F.col("evidence")))
-    return L.both_ways(rows, ["A_net", "B_net", "gap", "s_gen", "s_soft_play"], "y", "tbl", L.binary("y", "weight", iterations=10, depth=4), negate=["gap"], keys=["pair_id", "hand"])
+    rows = L.both_roles(roles(spark, sf).withColumn("weight", L.weights(F.col("evidence") * 2 - 1, F.col("evidence"))), negate=["gap"])
+    scored = B.cross_fit(rows, ["A_net", "B_net", "gap", "s_gen", "s_soft_play"], "y", "tbl", B.Settings("logistic", rounds=3, leaves=63), folds=5, weight=F.col("weight"))
+    return scored.groupBy("pair_id", "hand").agg(F.avg("score").alias("score"))
 
 
 _STAGE = lens.PAIRS_SQL + ", u AS (SELECT pair_id, row_number() OVER (ORDER BY score DESC, pair_id) AS r, count(*) OVER () AS n FROM pairs WHERE label < 0)"
@@ -268,10 +270,58 @@ def md06_second_stage(spark: Spark, sf: str) -> DataFrame:
     return L.second_stage(lens.pairs(spark, sf), "score", "label", 0.2, 3, "pair_id").select("pair_id", F.col("target").cast("int").alias("target"), F.col("weight").cast("double").alias("weight"))
 
 
+FOLDS = 5
+
+
+def pair_families(scores: DataFrame) -> DataFrame:
+    """(pair_id, family): which of the three families' scores has the greatest mean, from 0; ties to the first."""
+    mean = scores.groupBy("pair_id").agg(*[F.avg(c).alias(c) for c in FAMILIES])
+    best = F.greatest(*FAMILIES)
+    return mean.select("pair_id", F.when(F.col(FAMILIES[0]) == best, 0).when(F.col(FAMILIES[1]) == best, 1).otherwise(2).alias("family"))
+
+
+def routed(rows: DataFrame) -> tuple[DataFrame, Column, Callable[[Column], Column]]:
+    """(rows with fold by table, the models that may learn from a row, the number of a family's model that holds a row out).
+
+    Models 0 to 4 are the generic ones, then five for each family. A row teaches the generic and its own family's models of the other folds.
+    """
+    t = rows.withColumn("fold", L.fold(F.col("tbl"), FOLDS))
+    others = F.filter(F.array(*map(F.lit, range(FOLDS))), lambda k: k != F.col("fold"))
+    return t, F.concat(others, F.transform(others, lambda k: k + (F.col("family") + 1) * FOLDS)), lambda family: F.col("fold") + (family + 1) * FOLDS
+
+
 @query()
 def md07_ranking(spark: Spark, sf: str) -> DataFrame:
-    """A linear ranker of a pair's hands: fitted on differences of listed hands and the mean of the others, scored where its table was held out."""
-    return L.ranker(lens.hand_scores(spark, sf).withColumn("tbl", F.col("tbl").cast("string")), ["s_gen", "s_soft_play", "s_coordinated_isolation"], "evidence", "pair_id", "hand", "tbl").select("pair_id", "hand", "evidence", "score")
+    """LambdaRank of a pair's hands, generic and by family, in five folds by table: all twenty models grow in the same passes."""
+    scores = lens.hand_scores(spark, sf).withColumn("tbl", F.col("tbl").cast("string"))
+    t, models, of = routed(scores.join(pair_families(scores), "pair_id"))
+    m = B.fit(t, ["s_gen", "s_soft_play", "s_coordinated_isolation"], "evidence", models, B.Settings("rank", rounds=2, leaves=31, rate=0.3), group="pair_id", key=F.col("hand"))
+    both = m.score(m.score(t, F.col("fold")), of(F.col("family")), "family_score")
+    return both.select("pair_id", "hand", "family", "evidence", "score", "family_score")
+
+
+def rescored(rows: DataFrame, features: list[str], settings: B.Settings, negate: list[str]) -> DataFrame:
+    """(pair_id, hand, family, predicted, score) of the hands of positives whose predicted family is another than theirs.
+
+    rows: positives' hands with tbl, family, predicted, evidence and A_ and B_ columns. Models by (family, fold) learn from hands of their own family;
+    a mis-routed hand is scored by its predicted family's model that held its table out, with both roles, and has their mean.
+    """
+    t, models, of = routed(L.both_roles(rows, negate=negate))
+    m = B.fit(t, features, "evidence", models, settings)
+    lost = m.score(t.filter("predicted <> family"), of(F.col("predicted")))
+    return lost.groupBy("pair_id", "hand", "family", "predicted").agg(F.avg("score").alias("score"))
+
+
+@query()
+def q52_rerouted(spark: Spark, sf: str) -> DataFrame:
+    """Positives that were taken for another family: their hands by that family's held-out model. The prediction here is the family of the best single hand."""
+    scores = lens.hand_scores(spark, sf)
+    peak = scores.groupBy("pair_id").agg(*[F.max(c).alias(c) for c in FAMILIES])
+    top = F.greatest(*FAMILIES)
+    predicted = peak.select("pair_id", F.when(F.col(FAMILIES[0]) == top, 0).when(F.col(FAMILIES[1]) == top, 1).otherwise(2).alias("predicted"))
+    positives = lens.pairs(spark, sf).filter("label = 1").select("pair_id")
+    rows = roles(spark, sf).join(positives, "pair_id").join(pair_families(scores), "pair_id").join(predicted, "pair_id")
+    return rescored(rows.drop("y"), ["A_net", "B_net", "gap", "s_gen", "s_soft_play"], B.Settings("logistic", rounds=3, leaves=31), ["gap"])
 
 
 @query()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoscope.functions import cards as K
+from duoscope.operators import boosting as B
 from duoscope.operators import models as L
 from duoscope.operators import windows as W
 from duoscope.plans import lens
@@ -32,14 +33,15 @@ def _training(spark: Spark, sf: str) -> DataFrame:
 
 @query()
 def md02_cross_fit(spark: Spark, sf: str) -> DataFrame:
-    """No row is scored by a model that saw its table."""
-    return L.cross_fit(_training(spark, sf), ["s_gen", "s_soft_play"], "y", "tbl", L.binary("y", iterations=2, depth=2)).select("pair_id", "hand", "fold", "score")
+    """No row is scored by a model that saw its table. Leaf-wise boosted trees; both folds' models grow in the same passes."""
+    return B.cross_fit(_training(spark, sf), ["s_gen", "s_soft_play"], "y", "tbl", B.Settings("logistic", rounds=3, leaves=63), folds=2).select("pair_id", "hand", "fold", "score")
 
 
 @query()
 def md04_size_residual(spark: Spark, sf: str) -> DataFrame:
+    """What is left of a raise's size after a model of the other half's hands."""
     a = lens.acts(spark, sf).filter("act = 'raise'").select("hand", F.col("no").cast("double").alias("no"), "size", "amount", F.col("hand").cast("string").alias("g"))
-    t = L.cross_fit(a, ["no", "size"], "amount", "g", L.regressor("amount", iterations=2, depth=2))
+    t = B.cross_fit(a, ["no", "size"], "amount", "g", B.Settings("squared", rounds=3, leaves=63, rate=0.3), folds=2)
     return t.select("hand", "no", (F.col("amount") - F.col("score")).alias("residual"))
 
 
