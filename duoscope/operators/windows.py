@@ -71,9 +71,27 @@ def z_in_group(x: Column, group) -> Column:
     return (x - F.avg(x).over(w)) / (F.stddev_samp(x).over(w) + 1e-6)
 
 
+def group_quantiles(df: DataFrame, x: str, quantiles: Sequence[float], group: Sequence[str] = (), name: str = "q_") -> DataFrame:
+    """Per group an array of linear quantiles of x, by rank selection: rows are range-sorted by group and value, a group's places are its offset plus
+    q * (n - 1), and the values at those ranks are joined by rank. No buffer or task holds a group. Nulls do not count; a group of nulls has no row.
+    """
+    from duoscope.runtime import materialize
+
+    rows = df.filter(F.col(x).isNotNull()).select(*group, F.col(x).cast("double").alias("x_"))
+    ranks = materialize(global_rank(rows, [*[F.asc(g) for g in group], F.asc("x_")], "rank_"), "ranks")
+    places = ranks.groupBy(*group).agg(F.min("rank_").alias("first_"), F.count(F.lit(1)).alias("n_")) if group else ranks.agg(F.min("rank_").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    want = places.select(*group, "first_", F.posexplode(F.array(*[(F.col("n_") - 1) * F.lit(float(q)) for q in quantiles])).alias("i_", "at_"))
+    ends = want.select(*group, "i_", (F.col("at_") - F.floor("at_")).alias("part_"), F.posexplode(F.array(F.col("first_") + F.floor("at_"), F.col("first_") + F.ceil("at_"))).alias("end_", "rank_"))
+    end = lambda k: F.max(F.when(F.col("end_") == k, F.col("x_")))
+    value = end(0) + (end(1) - end(0)) * F.max("part_")
+    each = ends.join(ranks.select("rank_", "x_"), "rank_").groupBy(*group, "i_").agg(value.alias("v_"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("i_", "v_"))), lambda s: s["v_"]).alias(name)
+    return each.groupBy(*group).agg(listed) if group else each.agg(listed)
+
+
 def robust_z(df: DataFrame, x: str, group: Sequence[str], name: str, epsilon: float = 1e-6) -> DataFrame:
-    """(x - median) / (interquartile range + epsilon); quartiles are aggregated and joined, so big groups are summed where they lie."""
-    q = df.groupBy(*group).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q_"))
+    """(x - median) / (interquartile range + epsilon); quartiles are selected by rank and joined."""
+    q = group_quantiles(df, x, (0.25, 0.5, 0.75), group)
     return df.join(q, list(group), "left").withColumn(name, (F.col(x) - F.col("q_")[1]) / (F.col("q_")[2] - F.col("q_")[0] + epsilon)).drop("q_")
 
 

@@ -215,7 +215,7 @@ def ag32_std(spark: Spark, sf: str) -> DataFrame:
 
 @query("SELECT round(quantile_cont(l_extendedprice, 0.9), 4) AS q FROM lineitem")
 def ag33_global_quantile(spark: Spark, sf: str) -> DataFrame:
-    return lines(spark, sf).agg(F.round(F.percentile("l_extendedprice", 0.9), 4).alias("q"))
+    return W.group_quantiles(lines(spark, sf), "l_extendedprice", [0.9]).select(F.round(F.get("q_", F.lit(0)), 4).alias("q"))
 
 
 @query("WITH b AS (SELECT CASE WHEN l_quantity < 5 THEN 0 WHEN l_quantity < 10 THEN 1 WHEN l_quantity < 20 THEN 2 WHEN l_quantity < 40 THEN 3 ELSE 4 END AS bin, l_returnflag = 'R' AS pos FROM lineitem), c AS (SELECT bin, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS q FROM b GROUP BY bin) SELECT bin, p, q, round((p / CAST(sum(p) OVER () AS DOUBLE)) / nullif(q / CAST(sum(q) OVER () AS DOUBLE), 0), 6) AS ratio FROM c")
@@ -244,10 +244,12 @@ def ag36_standardise(spark: Spark, sf: str) -> DataFrame:
     return t.filter("l_linenumber = 2").join(F.broadcast(m)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(z, 6).alias("z"))
 
 
-@query("SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.9) AS p90, quantile_cont(l_quantity, 0.99) AS p99 FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(quantile_cont(l_quantity, 0.5), 9) AS p50, round(quantile_cont(l_quantity, 0.9), 9) AS p90, round(quantile_cont(l_quantity, 0.99), 9) AS p99 FROM lineitem GROUP BY l_returnflag")
 def ag38_summary(spark: Spark, sf: str) -> DataFrame:
-    q = F.percentile("l_quantity", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return lines(spark, sf).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"), q.alias("q")).select("l_returnflag", "n", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p99"))
+    """The quantiles of a class that may hold most rows are selected by rank, not gathered."""
+    q = W.group_quantiles(lines(spark, sf), "l_quantity", (0.5, 0.9, 0.99), ["l_returnflag"])
+    n = lines(spark, sf).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"))
+    return n.join(q, "l_returnflag").select("l_returnflag", "n", "mean", *[F.round(F.col("q_")[i], 9).alias(p) for i, p in enumerate(("p50", "p90", "p99"))])
 
 
 _NLL = "SELECT event_id, event_type, CASE WHEN event_id % 7 = 1 THEN CAST('nan' AS DOUBLE) ELSE value END AS v FROM events"

@@ -127,7 +127,7 @@ def wn15_z_in_pair(spark: Spark, sf: str) -> DataFrame:
 @query("WITH " + lens.SCORES_SQL + ", q AS (SELECT pair_id, quantile_cont(s_gen, 0.7) AS q FROM hand_scores GROUP BY pair_id) SELECT pair_id, hand, CAST(s_gen >= q - 1e-12 AS INTEGER) AS hot FROM hand_scores JOIN q USING (pair_id)")
 def wn16_quantile_flag(spark: Spark, sf: str) -> DataFrame:
     s = lens.hand_scores(spark, sf).select("pair_id", "hand", "s_gen")
-    q = s.groupBy("pair_id").agg(F.percentile("s_gen", 0.7).alias("q"))
+    q = W.group_quantiles(s, "s_gen", [0.7], ["pair_id"]).select("pair_id", F.get("q_", F.lit(0)).alias("q"))
     return s.join(q, "pair_id").select("pair_id", "hand", (F.col("s_gen") >= F.col("q") - 1e-12).cast("int").alias("hot"))
 
 

@@ -147,3 +147,28 @@ def float_text(x: Column) -> Column:
     small, large = F.concat(mantissa, F.lit("e-"), two(-exponent)), F.concat(mantissa, F.lit("e+"), two(exponent))
     digits = F.regexp_replace(F.format_string("%.20f", x), r"(\.\d+?)0+$", "$1")
     return F.when(exponent.isNull(), text).when(exponent < -4, small).when(exponent >= 16, large).otherwise(digits)
+
+
+def row_groups(names: DataFrame) -> DataFrame:
+    """(file, row_group, name, n_rows, dictionary, encodings) of each column of each row group of Parquet files (a column of paths), from their footers."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for file in batch.column(0).to_pylist():
+                system, path = fs.FileSystem.from_uri(file)
+                with system.open_input_file(path) as f:
+                    meta = pq.ParquetFile(f).metadata
+                for g in range(meta.num_row_groups):
+                    group = meta.row_group(g)
+                    for c in range(group.num_columns):
+                        column = group.column(c)
+                        out.append((file, g, column.path_in_schema, group.num_rows, column.has_dictionary_page, list(column.encodings)))
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["file", "row_group", "name", "n_rows", "dictionary", "encodings"])
+
+    return names.mapInArrow(run, "file string, row_group int, name string, n_rows long, dictionary boolean, encodings array<string>")
