@@ -172,9 +172,11 @@ def other_pairs(rare: DataFrame, settled: DataFrame) -> DataFrame:
     index = rows.filter(left * (OVER + UNDER) >= n * (2 * OVER)).select("token", band(n).alias("band"), F.col("own").alias("other"), F.col("open").alias("other_open"))
     probe = rows.select("token", F.explode(F.array(band(n), band(n) - 1)).alias("band"), "own", "open")
     one_way = (F.col("other.n") < F.col("own.n")) | ((F.col("other.n") == F.col("own.n")) & (F.col("other.cls") < F.col("own.cls")))
-    later_open = F.when(F.col("own.key") > F.col("other.key"), F.col("open")).otherwise(F.col("other_open"))
-    same = (probe["token"] == index["token"]) & (probe["band"] == index["band"]) & one_way & may_match("own", "other") & later_open
-    return ordered(probe.join(index, same).select("own", "other"))
+    same = (probe["token"] == index["token"]) & (probe["band"] == index["band"]) & one_way & may_match("own", "other")
+    # only a pair whose later class is open matters, so open rows meet all rows, from either side; settled ones never meet each other
+    own_later = probe.filter("open").join(index, same & (F.col("own.key") > F.col("other.key"))).select("own", "other")
+    other_later = probe.join(index.filter("other_open"), same & (F.col("own.key") < F.col("other.key"))).select("own", "other")
+    return ordered(own_later.unionByName(other_later))
 
 
 def duplicate_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -654,3 +654,14 @@ def test_empty_quality_and_benchmark(spark, empty, docs):
     assert quality.quality_rules(empty, labels).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.decontaminate(docs, none).agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_line_dedup_of_thousands_of_near_copies(spark):
+    """Near copies of one long line in three batches that are no copies of each other: one line of each stays, whatever the order; settled classes do not meet."""
+    from duoscope.llm import lines
+
+    stem = {b: " ".join(f"w{b}x{i}" for i in range(60)) for b in range(3)}
+    rows = [(i, f"{stem[i % 3]} end{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["n_kept"] for r in lines.dedup_lines(df).collect()}
+    assert len(got) == 3000 and {i for i, n in got.items() if n} == {0, 1, 2}
