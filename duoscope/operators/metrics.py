@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.operators.windows import global_rank
+from duoscope.operators.windows import global_rank, running_total
 
 
 def average_precision(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
@@ -17,13 +17,8 @@ def average_precision(df: DataFrame, score: str, label: str, key: str) -> DataFr
 
 def rank_sums(df: DataFrame, score: str) -> DataFrame:
     """(score, k rows, average rank): ranks of distinct values from running counts over range-sorted values."""
-    values = global_rank(df.groupBy(F.col(score).alias("v_")).agg(F.count(F.lit(1)).alias("k_")), [F.col("v_").asc()], "i_")
-    parts = values.withColumn("block_", F.floor(F.col("i_") / 4096))
-    blocks = parts.groupBy("block_").agg(F.sum("k_").alias("b_"))
-    offset = F.coalesce(F.sum("b_").over(Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.sum("k_").over(Window.partitionBy("block_").orderBy("i_"))
-    joined = parts.withColumn("w_", within).join(blocks.withColumn("o_", offset).select("block_", "o_"), "block_")
-    return joined.select("v_", "k_", (F.col("o_") + F.col("w_") - (F.col("k_") - 1) / 2).alias("rank_"))
+    values = df.groupBy(F.col(score).alias("v_")).agg(F.count(F.lit(1)).alias("k_"))
+    return running_total(values, "k_", [F.col("v_").asc()], "upto_").select("v_", "k_", (F.col("upto_") - (F.col("k_") - 1) / 2).alias("rank_"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:

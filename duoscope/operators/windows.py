@@ -99,6 +99,17 @@ def top_k(df: DataFrame, k: int, group, order) -> DataFrame:
     return df.withColumn("rn_", F.row_number().over(ordered(group, order))).filter(F.col("rn_") <= k).drop("rn_")
 
 
+def running_total(df: DataFrame, x: str, order: Sequence[Column], name: str) -> DataFrame:
+    """The sum of x (whole numbers) over all rows up to this one, in a total order: sums within range-sorted partitions and the partitions' offsets, a row each."""
+    from duoscope.runtime import materialize
+
+    parts = materialize(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy("part_").agg(F.sum(x).alias("n_"))
+    offsets = sums.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset_"))
+    within = F.sum(x).over(Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("in_", within).join(F.broadcast(offsets), "part_").withColumn(name, F.col("in_") + F.col("offset_")).drop("part_", "in_", "offset_")
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "global_rank") -> DataFrame:
     """Rank from 1 over all rows without one task that sees them all: range-sorted partitions, then their offsets.
 

@@ -424,6 +424,26 @@ def q44_comparison(spark: Spark, sf: str) -> DataFrame:
     return t.select(F.expr("stack(3, 10, `10`, 30, `30`, 100, `100`) as (k, overlap)"))
 
 
+_AGREE = (
+    "WITH " + lens.SCORES_SQL + lens.PAIRS_SQL[len(lens.PAIR_HANDS_SQL) :] + """, r AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY shared) + (count(*) OVER (PARTITION BY shared) - 1) / 2.0::DOUBLE AS y FROM pairs),
+ k AS (SELECT pair_id, hand, row_number() OVER (PARTITION BY pair_id ORDER BY s_gen DESC, hand) AS i, row_number() OVER (PARTITION BY pair_id ORDER BY s_soft_play DESC, hand) AS j FROM hand_scores),
+ l AS (SELECT pair_id, list(hand ORDER BY i) FILTER (i <= 5) = list(hand ORDER BY j) FILTER (j <= 5) AS same, count(*) FILTER (i <= 5 AND j <= 5) AS shared, list(hand ORDER BY i) FILTER (i <= 1) = list(hand ORDER BY j) FILTER (j <= 1) AS first FROM k GROUP BY pair_id)
+ SELECT (SELECT round(corr(x, y), 9) FROM r) AS spearman, count(*) AS n_pairs, count(*) FILTER (same) AS same_lists, count(*) FILTER (first) AS same_first, round(avg(shared), 9) AS mean_shared FROM l"""
+)
+
+
+@query(_AGREE)
+def q44_agreement(spark: Spark, sf: str) -> DataFrame:
+    """Two rankings and two evidence lists compared: rank correlation, pairs with the same list in the same order, with the same first hand, and how many of five hands are shared."""
+    rho = M.spearman(lens.pairs(spark, sf).select("score", "shared"), "score", "shared")
+    place = lambda c: F.row_number().over(W.ordered(["pair_id"], [F.desc(c), "hand"]))
+    k = lens.hand_scores(spark, sf).select("pair_id", "hand", "s_gen", "s_soft_play").withColumns({"i": place("s_gen"), "j": place("s_soft_play")}).filter("i <= 5 or j <= 5")
+    listed = lambda c: F.sort_array(F.collect_list(F.when(F.col(c) <= 5, F.struct(F.col(c).alias("k"), "hand"))))
+    pair = k.groupBy("pair_id").agg(listed("i").alias("x"), listed("j").alias("y"), F.count_if((F.col("i") <= 5) & (F.col("j") <= 5)).alias("shared"))
+    all_ = pair.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("x") == F.col("y")).alias("same_lists"), F.count_if(F.get("x", F.lit(0)) == F.get("y", F.lit(0))).alias("same_first"), F.round(F.avg("shared"), 9).alias("mean_shared"))
+    return rho.select(F.round("rho", 9).alias("spearman")).join(F.broadcast(all_))
+
+
 @query("WITH " + _GAIN + ", pl AS (SELECT actor, sum(gain) AS tg, count(*) AS tc FROM gn GROUP BY actor), o AS (SELECT actor, aggressor, sum(gain) AS g, count(*) AS c FROM gn GROUP BY ALL) SELECT actor, aggressor, c AS n, round(CAST(g / c AS DOUBLE) - CAST(tg - g AS DOUBLE) / nullif(tc - c, 0), 6) AS excess FROM o JOIN pl USING (actor)")
 def q45_excess(spark: Spark, sf: str) -> DataFrame:
     g = _gains(spark, sf).groupBy("actor", "aggressor").agg(F.sum("gain").alias("g"), F.count(F.lit(1)).alias("n"))
