@@ -132,27 +132,44 @@ def snk09_stage_cache(spark: Spark, sf: str) -> DataFrame:
     return out
 
 
-@query("SELECT * FROM (VALUES ('a', 1), ('b', 2), ('c', 3)) t(step, place)")
+@query(
+    "WITH l AS (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL), p AS (SELECT l_suppkey, count(*) AS hands FROM l GROUP BY l_suppkey) "
+    "SELECT 'raises' AS step, 1 AS place, count(*) AS n_rows FROM l UNION ALL SELECT 'players', 2, count(*) FROM p UNION ALL SELECT 'busy', 3, count(*) FILTER (hands >= 2) FROM p"
+)
 def snk10_steps(spark: Spark, sf: str) -> DataFrame:
-    """Steps in order of what they need, each with a marker once it is done; a second run does nothing."""
+    """Steps in order of what they need, each making a table of the one before and leaving a marker once it is done; a second run does nothing."""
     ran: list[str] = []
-    runner = files.Steps(spark, fresh_path(spark, "steps"))
-    for name, needs in (("c", ["b"]), ("a", []), ("b", ["a"])):
-        runner.add(name, lambda name=name: ran.append(name), needs)
+    root = fresh_path(spark, "steps")
+    runner = files.Steps(spark, f"{root}/done")
+    table = lambda name: f"{root}/{name}"
+    made = {
+        "busy": (lambda: spark.read.parquet(table("players")).filter("hands >= 2"), ["players"]),
+        "raises": (lambda: read(spark, sf, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")), []),
+        "players": (lambda: spark.read.parquet(table("raises")).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("hands")), ["raises"]),
+    }
+    for name, (make, needs) in made.items():
+        runner.add(name, lambda name=name, make=make: (ran.append(name), make().write.parquet(table(name))), needs)
     runner.run()
     runner.run()
-    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(ran)], "step string, place int")
+    out = None
+    for place, name in enumerate(ran):
+        row = spark.read.parquet(table(name)).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("step"), F.lit(place + 1).alias("place"), "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
-@query("SELECT 'other.txt' AS name, 'missing' AS problem UNION ALL SELECT 'one.txt', 'different'")
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS name, 'different' AS problem FROM (SELECT DISTINCT s_nationkey FROM supplier) WHERE s_nationkey % 5 = 0 UNION ALL SELECT '99', 'missing'")
 def snk11_manifest(spark: Spark, sf: str) -> DataFrame:
+    """A file a nation of its suppliers' names, held against digests made of the table; a fifth of the digests are false on purpose and one names no file."""
     path = fresh_path(spark, "manifest")
-    for name, text in (("one.txt", "one"), ("two.txt", "two")):
-        files.put_text(spark, f"{path}/{name}", text)
-    found = files.manifest(spark, path)
-    name = lambda df: df.withColumn("path", F.element_at(F.split("path", "/"), -1))
-    wanted = spark.createDataFrame([("one.txt", "0" * 32), ("two.txt", "b8a9f715dbb64fd5c56e7783c6820a61"), ("other.txt", "1" * 32)], "path string, md5 string")
-    return files.compare_manifest(name(found), wanted).withColumnRenamed("path", "name")
+    s = read(spark, sf, "supplier").select("s_nationkey", "s_suppkey", F.col("s_name").alias("value"))
+    s.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").select("s_nationkey", "value").write.partitionBy("s_nationkey").text(path)
+    found = files.manifest(spark, path).withColumn("path", F.regexp_extract("path", r"s_nationkey=(\d+)", 1)).filter("path <> ''")
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "value"))), lambda x: x["value"]), "\n")
+    digest = F.md5(F.concat(names, F.lit("\n")).cast("binary"))
+    wanted = s.groupBy("s_nationkey").agg(digest.alias("md5")).select(F.col("s_nationkey").cast("string").alias("path"), F.when(F.col("s_nationkey") % 5 == 0, "0" * 32).otherwise(F.col("md5")).alias("md5"))
+    other = wanted.limit(1).select(F.lit("99").alias("path"), F.lit("1" * 32).alias("md5"))
+    return files.compare_manifest(found, wanted.unionByName(other)).withColumnRenamed("path", "name")
 
 
 @query("SELECT s_suppkey, CAST(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END AS INTEGER) AS found FROM supplier")
