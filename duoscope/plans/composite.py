@@ -70,7 +70,7 @@ def surprise(spark: Spark, sf: str) -> DataFrame:
     a = lens.acts(spark, sf).withColumn("slot", F.least("no", F.lit(3)))
     counts = a.groupBy("slot", "act").agg(F.count(F.lit(1)).alias("c"))
     p = counts.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("slot"))).select("slot", "act", "p")
-    return a.join(p, ["slot", "act"]).withColumn("surprise", -F.ln("p"))
+    return a.join(F.broadcast(p), ["slot", "act"]).withColumn("surprise", -F.ln("p"))  # a row for each of four slots and three acts
 
 
 @query("WITH " + lens.ACTS_SQL + _FREQ + " SELECT hand, actor, round(sum(surprise), 6) AS s_sum, round(max(surprise), 6) AS s_max, round(sum(surprise * amount) / sum(amount), 6) AS s_pot FROM sp GROUP BY hand, actor")
