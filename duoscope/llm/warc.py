@@ -1,7 +1,8 @@
 """A deterministic sharded WARC writer and its reader.
 
 Records are sorted by page id within shards, and shards are ranges of ids that hold about shard_bytes each; the ranges come from
-exact counts, so equal tables give equal files. Files roll once they hold roll_bytes compressed. Each record is a gzip member
+exact counts, so equal tables give equal files. An id (or null) that holds more is dealt to shards of its own by a hash of url and payload; only
+rows alike in all three stay in one shard, which a task streams. Files roll once they hold roll_bytes compressed. Each record is a gzip member
 whose headers (lengths, block and payload digests, record ids) are made anew. Of pages with equal payloads of least_bytes or more
 the one with the greatest id is a response and the others revisit it.
 
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoscope.llm.common import slices
+from duoscope.operators.windows import running_total
 from duoscope.runtime import discard, fresh_path, materialize
 
 SHARD_BYTES = 32 << 20
@@ -82,36 +84,36 @@ def info_record(name: str) -> bytes:
     return member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:x-file:{name}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], block)
 
 
-def shard_starts(sizes: DataFrame, shard_bytes: int) -> list[int]:
-    """First ids of the shards: ranges of about shard_bytes by exact sums of size over (id_, size).
+def shard_plan(sizes: DataFrame, shard_bytes: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many shards null ids take, and (start, spread) of ranges of ids in order: a range holds about shard_bytes by exact sums of size over (id_, size)
+    and is one shard, but an id that alone holds more has a range of its own that is dealt to `spread` shards.
 
-    Sums are taken over equal ranges of ids; ranges with too much are taken apart again. What the driver sees grows with the
-    number of shards, not of rows. One id's rows stay together.
+    Sums are taken over cells of 2^k ids; cells with too much are taken apart again, all in one pass a level. Cells are packed by running totals over
+    range-sorted cells; the driver sees two numbers a range, as arrays.
     """
-    low, high, total = sizes.agg(F.min("id_"), F.max("id_"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    if low is None:
-        return []
-    parts = max(1024, 4 * (int(total) // shard_bytes + 1))
-    todo, cells = [(int(low), int(high) + 1)], []
-    while todo:
-        frames = [sizes.filter(F.col("id_").between(a, b - 1)).select(F.lit(a).alias("a"), F.lit(max(1, -(-(b - a) // parts))).alias("w"), "id_", "size") for a, b in todo]
-        rows = frames[0]
-        for f in frames[1:]:
-            rows = rows.unionByName(f)
-        at = F.col("a") + F.expr("(id_ - a) div w") * F.col("w")
-        todo = []
-        for start, width, size in rows.groupBy(at.alias("start"), "w").agg(F.sum("size")).collect():
-            if size > shard_bytes and width > 1:
-                todo.append((start, start + width))
-            else:
-                cells.append((start, int(size)))
-    starts, held = [], shard_bytes
-    for start, size in sorted(cells):
-        if held + size > shard_bytes:
-            starts.append(start)
-            held = 0
-        held += size
-    return starts
+    low, high, total, unknown = sizes.agg(F.min("id_"), F.max("id_"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("id_").isNull(), F.col("size"))), F.lit(0))).first()
+    starts, spread = [], []
+    if low is not None:
+        bits = max(10, (4 * (int(total) // shard_bytes + 1)).bit_length())
+        shift = max(0, (int(high) - int(low)).bit_length() - bits)
+        rows, levels, done = sizes.filter(F.col("id_").isNotNull()), [], None
+        while True:
+            cells = materialize(rows.groupBy(F.shiftright("id_", shift).alias("cell")).agg(F.sum("size").alias("size")), "cells")
+            levels.append(cells)
+            full = (F.col("size") > shard_bytes) & F.lit(shift > 0)
+            kept = cells.filter(~full).select(F.shiftleft("cell", shift).alias("start"), "size")
+            done = kept if done is None else done.unionByName(kept)
+            over = cells.filter(full).select("cell")
+            if over.isEmpty():
+                break
+            rows = rows.join(over.withColumnRenamed("cell", "cell_"), F.shiftright("id_", shift) == F.col("cell_"), "left_semi")
+            shift = max(0, shift - bits)
+        held = running_total(done, "size", [F.asc("start")], "upto").withColumns({"k": F.expr(f"(upto - size) div {shard_bytes}"), "alone": F.col("size") > shard_bytes})
+        found = held.groupBy("k", "alone").agg(F.min("start").alias("start"), F.max(F.when(F.col("alone"), F.ceil(F.col("size") / shard_bytes)).otherwise(1)).alias("spread")).orderBy("start").toArrow()
+        starts, spread = found.column("start").to_numpy(), found.column("spread").to_numpy()
+        for cells in levels:
+            discard(cells)
+    return -(-int(unknown) // shard_bytes), np.array(starts, np.int64), np.array(spread, np.int64)
 
 
 class _Shard:
@@ -202,25 +204,32 @@ def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col:
     ).withColumns({"sha": F.sha1(F.col("html_").cast("binary")), "size": F.octet_length("html_").cast("long")})
     groups = rows.filter(F.col("size") >= least_bytes).groupBy("sha").agg(F.max("id_").alias("m"), F.count(F.lit(1)).alias("n"), F.count("id_").alias("known")).filter("n > 1")
     groups = materialize(groups.select("sha", "m", (F.col("known") > 0).alias("has_id")), "payloads")  # its size on disk tells Spark whether to broadcast it
-    starts = np.array(shard_starts(rows.select("id_", (F.col("size") + 512).alias("size")), shard_bytes), np.int64)
-    shared = spark.sparkContext.broadcast(starts)  # one number for each shard
+    unknown, starts, spread = shard_plan(rows.select("id_", (F.col("size") + 512).alias("size")), shard_bytes)
+    shards = max(1, unknown + int(spread.sum()))
+    shared = spark.sparkContext.broadcast((starts, spread, unknown + np.cumsum(spread) - spread))  # three numbers for each range
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, wide, first = shared.value
         for batch in batches:
-            ids = np.array([-(1 << 63) if x is None else x for x in batch.column("id_").to_pylist()], np.int64)
-            yield batch.append_column("shard", pa.array(np.maximum(np.searchsorted(shared.value, ids, side="right") - 1, 0).astype(np.int64)))
+            seed = batch.column("seed").to_numpy(zero_copy_only=False)
+            shard = seed % max(1, unknown)  # of null ids
+            known = batch.column("id_").is_valid().to_numpy(zero_copy_only=False)
+            at = np.searchsorted(start, batch.column("id_").drop_null().to_numpy(), side="right") - 1
+            shard[known] = first[at] + seed[known] % wide[at]
+            yield batch.select([k for k, name in enumerate(batch.schema.names) if name != "seed"]).append_column("shard", pa.array(shard))
 
     marked = rows.join(groups, "sha", "left").select(
         "id_", "url_", F.when(F.col("has_id") & ~F.col("id_").eqNullSafe(F.col("m")), F.lit("")).otherwise(F.col("html_")).alias("html_"), "sha", "size", "m",
         F.coalesce(F.col("has_id") & ~F.col("id_").eqNullSafe(F.col("m")), F.lit(False)).alias("is_revisit"),
+        F.xxhash64("sha", "url_").bitwiseAND(F.lit((1 << 63) - 1)).alias("seed"),
     )
     kinds = "id_ long, url_ string, html_ string, sha string, size long, m long, is_revisit boolean"
-    dealt = marked.mapInArrow(place, f"{kinds}, shard long").repartitionById(max(1, len(starts)), F.col("shard").cast("int")).sortWithinPartitions("shard", "id_", "sha", "url_")
+    dealt = marked.mapInArrow(place, f"{kinds}, shard long").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "id_", "sha", "url_")
     written = materialize(dealt.mapInArrow(lambda b: _write(b, out_dir, roll_bytes), _MANIFEST), "written")
     fs, root = file_system(out_dir)
     there = lambda path: fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound
     old = materialize(spark.read.parquet(f"{out_dir}/_manifest").select("name"), "old") if there(f"{root}/_manifest") else None
-    new = written.repartition(max(1, min(64, len(starts))), "name").mapInArrow(lambda b: _publish(b, out_dir), _MANIFEST).drop("temporary")
+    new = written.repartition(max(1, min(64, shards)), "name").mapInArrow(lambda b: _publish(b, out_dir), _MANIFEST).drop("temporary")
     new.write.mode("overwrite").parquet(f"{out_dir}/_manifest")
     manifest = spark.read.parquet(f"{out_dir}/_manifest")
     if old is not None:

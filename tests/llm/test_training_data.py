@@ -460,6 +460,30 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_hot_ids_and_nulls_are_split(spark, tmp_path):
+    """A third of the rows without an id and a third with one id: no shard holds much more than its share, nothing is lost, and equal tables give equal files."""
+    pages = [(None, f"u{k % 50}", f"none {k} " * 20) for k in range(300)] + [(7, f"u{k}", f"hot {k} " * 20) for k in range(300)]
+    pages += [(k, "u", f"cold {k} " * 20) for k in (*range(8, 300), -(1 << 63) + 5, (1 << 63) - 1)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for name, rows in (("a", df), ("b", df.repartition(7))):
+        warc.write_warc(rows, f"file://{tmp_path}/{name}", shard_bytes=20_000, roll_bytes=1 << 20)
+    assert sorted((str(r["page_id"]), r["payload"]) for r in warc.read_warc(spark, f"file://{tmp_path}/a").collect()) == sorted((str(i), h) for i, _, h in pages)
+    files = {d: {p.name: hashlib.md5(p.read_bytes()).hexdigest() for p in (tmp_path / d).glob("*.gz")} for d in "ab"}
+    assert files["a"] == files["b"]
+    records = [r["records"] for r in spark.read.parquet(f"file://{tmp_path}/a/_manifest").collect()]
+    assert sum(records) == len(pages) and max(records) < 80 and len(records) > 20
+
+
+def test_warc_shards_follow_exact_sums(spark):
+    rows = [(k, 100) for k in range(1000)] + [(5000, 4_000), (None, 2_500), (None, 100)]
+    unknown, starts, spread = warc.shard_plan(spark.createDataFrame(rows, "id_ long, size long"), 1_000)
+    assert unknown == 3 and starts[0] == 0 and dict(zip(starts.tolist(), spread.tolist(), strict=True))[5000] == 4
+    held = [sum(s for i, s in rows if i is not None and a <= i < b) for a, b in zip(starts, [*starts[1:], 1 << 62], strict=True)]
+    assert sum(held) == 104_000 and all(h < 2_000 for h, k in zip(held, spread, strict=True) if k == 1)
+    none = warc.shard_plan(spark.createDataFrame([], "id_ long, size long"), 1_000)
+    assert none[0] == 0 and len(none[1]) == len(none[2]) == 0
+
+
 def test_warc_writes_again_and_checks_files(spark, tmp_path):
     kind = "page_id long, url string, html string"
     out = f"file://{tmp_path}/a"
