@@ -1,8 +1,8 @@
 """Operator 12: documents drawn by how likely their features are under a target's distribution.
 
-The counts of each document's hashed features are written once, as CSR blocks (a row of the table holds the row ends, buckets and counts of the
-documents of one slice). Column sums of the blocks give both distributions; a bucket's gain is the logarithm of their smoothed ratio. A
-document's weight is its row of the sparse matrix times the gains, over its features. Weights with Gumbel noise by id are ranked by
+The counts of each document's hashed features are written once, as a sparse matrix (a row of the table holds the buckets and counts of one
+document). Its column sums give both distributions; a bucket's gain is the logarithm of their smoothed ratio. A document's weight is its row
+of the matrix times the gains, over its features. Weights with Gumbel noise by id are ranked by
 range-sorted partitions and their offsets. The driver sees one number a bucket.
 
 Results by definition:
@@ -87,7 +87,10 @@ def count_row(text: str | None, ngrams: int, known: Buckets) -> tuple[int, np.nd
 
 
 def count_matrix(docs: DataFrame, id_col: str, text_col: str, ngrams: int, buckets: int) -> DataFrame:
-    """CSR blocks: ids, words (of each document), ends (of each row), columns and counts."""
+    """The sparse matrix, a row a document: id_, n_words, columns and counts (as many as it has buckets, at most `buckets`).
+
+    A reader decodes thousands of rows at once, so no row may hold more than a document.
+    """
     rows = two_columns(docs, id_col, text_col)
     kind = ddl(rows.schema["id_"].dataType)
 
@@ -96,32 +99,27 @@ def count_matrix(docs: DataFrame, id_col: str, text_col: str, ngrams: int, bucke
         known = Buckets(buckets)
         for batch in slices(batches, "text_"):
             found = [count_row(text, ngrams, known) for text in batch.column("text_").to_pylist()]
-            ids = batch.column("id_")
-            whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    whole(ids), whole(pa.array([n for n, _, _ in found], pa.int64())), whole(pa.array(np.cumsum([len(c) for _, c, _ in found]), pa.int64())),
-                    whole(pa.array(np.concatenate([c for _, c, _ in found]), pa.int32())), whole(pa.array(np.concatenate([t for _, _, t in found]), pa.int64())),
-                ],
-                names=["ids", "words", "ends", "columns", "counts"],
-            )
+            ends = pa.array(np.cumsum([0, *[len(c) for _, c, _ in found]]), pa.int32())
+            cells = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[i] for f in found]), kind_)) for i, kind_ in ((1, pa.int32()), (2, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id_"), pa.array([n for n, _, _ in found], pa.int64()), *cells], names=["id_", "n_words", "columns", "counts"])
 
-    return rows.mapInArrow(run, f"ids array<{kind}>, words array<long>, ends array<long>, columns array<int>, counts array<long>")
+    return rows.mapInArrow(run, f"id_ {kind}, n_words long, columns array<int>, counts array<long>")
 
 
-def _parts(batch: pa.RecordBatch, *names: str) -> Iterator[list[np.ndarray]]:
-    for i in range(batch.num_rows):
-        yield [batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in names]
+def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All rows' columns and counts, one after another, and where rows end."""
+    columns, counts = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("columns", "counts"))
+    return columns, counts, np.cumsum(batch.column("columns").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 def column_sums(matrix: DataFrame, buckets: int) -> np.ndarray:
-    """Features in each bucket. Each task adds up its blocks; a row a bucket reaches the driver."""
+    """Features in each bucket. Each task adds up its rows; a row a bucket reaches the driver."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for columns, counts in _parts(batch, "columns", "counts"):
-                np.add.at(total, columns, counts)
+            columns, counts, _ = _cells(batch)
+            np.add.at(total, columns, counts)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
@@ -139,17 +137,17 @@ def gains(of_corpus: np.ndarray, of_target: np.ndarray) -> np.ndarray:
 
 
 def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
-    """Per document: id_, n_words, n_features and weight: each block's product with the gains, over the document's features."""
-    kind = ddl(matrix.schema["ids"].dataType.elementType)
+    """Per document: id_, n_words, n_features and weight: the matrix's product with the gains, over the document's features."""
+    kind = ddl(matrix.schema["id_"].dataType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (words, ends, columns, counts) in enumerate(_parts(batch, "words", "ends", "columns", "counts")):
-                both = [np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])] for x in (gain[columns] * counts, counts)]
-                total, n = (np.diff(x) for x in both)
-                yield pa.RecordBatch.from_arrays([batch.column("ids")[i].values, pa.array(words), pa.array(n), pa.array(total // np.maximum(n, 1))], names=["id_", "n_words", "n_features", "weight"])
+            columns, counts, ends = _cells(batch)
+            both = [np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])] for x in (gain[columns] * counts, counts)]
+            total, n = (np.diff(x) for x in both)
+            yield pa.RecordBatch.from_arrays([batch.column("id_"), batch.column("n_words"), pa.array(n), pa.array(total // np.maximum(n, 1))], names=["id_", "n_words", "n_features", "weight"])
 
-    return matrix.select("ids", "words", "ends", "columns", "counts").mapInArrow(run, f"id_ {kind}, n_words long, n_features long, weight long")
+    return matrix.select("id_", "n_words", "columns", "counts").mapInArrow(run, f"id_ {kind}, n_words long, n_features long, weight long")
 
 
 def ranked(rows: DataFrame, order: list, least: int) -> DataFrame:

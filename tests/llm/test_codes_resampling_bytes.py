@@ -124,6 +124,13 @@ def test_resampling_equals_brute_force(spark, monkeypatch, n):
     assert sorted((list(r) for r in got.collect()), key=key) == sorted(plain_resampling(docs, target, n, 97, 30, 10), key=key)
 
 
+def test_a_row_of_the_matrix_is_one_document(spark):
+    """A reader decodes thousands of rows at once: no row may grow with the number of documents."""
+    docs = spark.createDataFrame([(i, "a b c d " * 5) for i in range(500)], "doc_id long, text string").coalesce(1)
+    rows = resampling.count_matrix(docs, "doc_id", "text", 1, 97).select("columns").collect()
+    assert len(rows) == 500 and max(len(r["columns"]) for r in rows) <= 4
+
+
 def test_resampling_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id string, text string")
