@@ -247,3 +247,13 @@ def test_a_boundary_between_quantiles_is_found(spark):
     got = L.fitted_at_boundary(df, "x", L.tree("y"), "y").transform(df).filter("prediction <> y").count()
     assert got == 0
     assert L.fitted(df.filter("x is not null"), ["x"], L.tree("y")).transform(df.filter("x is not null")).filter("prediction <> y").count() > 0
+
+
+def test_learners_read_written_rows(spark, monkeypatch):
+    """Each pass of a learner would otherwise make the rows again."""
+    from duoscope import runtime
+
+    names, keep = [], runtime.materialize
+    monkeypatch.setattr(runtime, "materialize", lambda t, name: names.append(name) or keep(t, name))
+    df = spark.createDataFrame([(k, float(k % 3), float(k % 3 > 1), str(k % 7)) for k in range(60)], "k int, x double, y double, g string")
+    assert L.cross_fit(df, ["x"], "y", "g", L.tree("y")).count() == 60 and names == ["folds"]
