@@ -257,3 +257,22 @@ def test_learners_read_written_rows(spark, monkeypatch):
     monkeypatch.setattr(runtime, "materialize", lambda t, name: names.append(name) or keep(t, name))
     df = spark.createDataFrame([(k, float(k % 3), float(k % 3 > 1), str(k % 7)) for k in range(60)], "k int, x double, y double, g string")
     assert L.cross_fit(df, ["x"], "y", "g", L.tree("y")).count() == 60 and names == ["folds"]
+
+
+@pytest.mark.parametrize("name", ["pk20_transfer", "pk21_fold_margin", "pk25_fold_account"])
+def test_pairs_of_seats_need_no_written_seats(spark, monkeypatch, name):
+    """Seats are made where their acts lie: none is written or dealt again, so only acts and hands, each for both sides, are dealt by hand."""
+    from duoscope.plans import pairhands
+
+    def written(t, name):
+        raise AssertionError(f"{name} written")
+
+    monkeypatch.setattr(pairhands, "materialize", written)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4000")  # suppliers only
+    try:
+        plan = getattr(pairhands, name)(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_hand = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and ("o_orderkey" in x or "l_orderkey" in x or "hand#" in x)]
+    assert len(by_hand) <= 4
