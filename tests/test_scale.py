@@ -44,3 +44,12 @@ def test_counted_rank_is_the_average_rank(spark):
 def test_top_fraction_has_no_limit_in_one_task(spark):
     plan = registry.QUERIES["tk04_top_fraction"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "GlobalLimit" not in plan
+
+
+def plan_of(name, spark):
+    return registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contrasts_join_on_what_seats_were_dealt_by(spark):
+    joins = [line for line in plan_of("q14_presence_contrast", spark).splitlines() if "Join " in line]
+    assert joins and all("q5#" not in line and "hand#" not in line and "phase#" in line for line in joins)
