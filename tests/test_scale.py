@@ -53,3 +53,8 @@ def plan_of(name, spark):
 def test_contrasts_join_on_what_seats_were_dealt_by(spark):
     joins = [line for line in plan_of("q14_presence_contrast", spark).splitlines() if "Join " in line]
     assert joins and all("q5#" not in line and "hand#" not in line and "phase#" in line for line in joins)
+
+
+def test_pooled_scores_are_made_without_a_join(spark):
+    """The wide rows come from written seats, so only a join with scores would read the lines."""
+    assert readings(registry.QUERIES["q18_pooled"](spark, SF)) == 0
