@@ -58,3 +58,17 @@ def test_contrasts_join_on_what_seats_were_dealt_by(spark):
 def test_pooled_scores_are_made_without_a_join(spark):
     """The wide rows come from written seats, so only a join with scores would read the lines."""
     assert readings(registry.QUERIES["q18_pooled"](spark, SF)) == 0
+
+
+def test_wide_seats_are_not_dealt_by_actor(spark):
+    for name in ("q06_pair_hands", "pk24_deviation"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(actor#" not in plan and "hashpartitioning(hand#" in plan, name
+
+
+def test_means_of_the_other_phase_may_be_too_many_to_hold(spark):
+    from duoscope.plans import pairhands as P
+
+    seats = P.seat_rows(spark, SF).drop("answered").localCheckpoint()
+    held, met = P.with_other_phase(seats), P.with_other_phase(seats, most=3)
+    assert held.exceptAll(met).isEmpty() and met.exceptAll(held).isEmpty() and held.filter("b_net is not null").count() > 0
