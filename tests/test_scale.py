@@ -72,3 +72,8 @@ def test_means_of_the_other_phase_may_be_too_many_to_hold(spark):
     seats = P.seat_rows(spark, SF).drop("answered").localCheckpoint()
     held, met = P.with_other_phase(seats), P.with_other_phase(seats, most=3)
     assert held.exceptAll(met).isEmpty() and met.exceptAll(held).isEmpty() and held.filter("b_net is not null").count() > 0
+
+
+def test_quantile_flags_are_made_where_pairs_are_dealt(spark):
+    joins = [line for line in plan_of("wn16_quantile_flag", spark).splitlines() if "Join " in line]
+    assert joins and all("pair_id#" not in line for line in joins)
