@@ -77,3 +77,9 @@ def test_means_of_the_other_phase_may_be_too_many_to_hold(spark):
 def test_quantile_flags_are_made_where_pairs_are_dealt(spark):
     joins = [line for line in plan_of("wn16_quantile_flag", spark).splitlines() if "Join " in line]
     assert joins and all("pair_id#" not in line for line in joins)
+
+
+def test_context_meets_no_pairs_with_hands(spark):
+    plan = plan_of("q19_context", spark)
+    assert readings(registry.QUERIES["q19_context"](spark, SF)) == 1
+    assert all("pair_id#" not in line for line in plan.splitlines() if "Join " in line)
