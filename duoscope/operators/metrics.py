@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.operators.windows import global_rank, running_total
+from duoscope.operators.windows import global_rank, running_total, running_totals
 
 
 def average_precision(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
@@ -69,22 +69,30 @@ def table_bootstrap(sums: DataFrame, table: str, total: str, count: str, resampl
     return sums.agg((F.sum(total) / F.sum(count)).alias("delta")).crossJoin(F.broadcast(points)).select("delta", F.get("p", 0).alias("low"), F.get("p", 1).alias("high"))
 
 
-def mirror(pairs: DataFrame, score: str, label: str, key: str, top: int, wide: int) -> DataFrame:
-    """One row: ap, ap_mirror (without pairs that share a player with a positive one), how many are left out, and ranks of positives; pairs has a, b and label (below 0: unknown)."""
+def touching(pairs: DataFrame, label: str) -> DataFrame:
+    """pairs (a, b and what else) with touch: whether a player of theirs is in a positive pair."""
     players = pairs.filter(F.col(label) == 1).select(F.explode(F.array("a", "b")).alias("p")).distinct()
     side = lambda c: players.select(F.col("p").alias(c), F.lit(1).alias(f"t{c}"))
-    t = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("touch", F.col("ta").isNotNull() | F.col("tb").isNotNull())
-    order = [F.col(score).desc(), F.col(key).asc()]
-    rows = global_rank(t.select(key, score, F.col(label).alias("y_"), "label", "touch"), order, "r")
-    world = global_rank(rows.filter((F.col("y_") == 1) | ~F.col("touch")).select(key, score, "y_"), order, "wr")
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("touch", F.col("ta").isNotNull() | F.col("tb").isNotNull()).drop("ta", "tb")
+
+
+def mirror(pairs: DataFrame, score: str, label: str, key: str, top: int, wide: int) -> DataFrame:
+    """One row: ap, ap_mirror (without pairs that share a player with a positive one), how many are left out, and ranks of positives; pairs is touching() with label (below 0: unknown).
+
+    One range sort ranks the pairs and, by running counts, those that are not left out; only positives are ranked again, for their hits.
+    """
+    y = F.col("y_") == 1
+    t = pairs.select(key, score, F.col(label).alias("y_"), "label", "touch").withColumns({"one_": F.lit(1).cast("long"), "in_world_": (y | ~F.col("touch")).cast("long")})
+    rows = running_totals(t, {"one_": "r", "in_world_": "wr"}, [F.col(score).desc(), F.col(key).asc()])
     whole = rows.agg(
-        F.count_if((F.col("y_") == 0) & F.col("touch")).alias("excluded"), F.median(F.when(F.col("y_") == 1, F.col("r"))).alias("median_rank"), F.count_if((F.col("y_") == 1) & (F.col("r") > top)).alias(f"over_{top}"),
+        F.count_if((F.col("y_") == 0) & F.col("touch")).alias("excluded"), F.count_if(y & (F.col("r") > top)).alias(f"over_{top}"),
         F.count_if((F.col("r") <= wide) & (F.col("label") < 0)).alias(f"unknown_{wide}"),
     )
-    inner = world.agg(F.median(F.when(F.col("y_") == 1, F.col("wr"))).alias("mirror_median_rank"))
-    ap = average_precision(rows, score, "y_", key).select(F.round("ap", 8).alias("ap"))
-    ap_mirror = average_precision(world, score, "y_", key).select(F.round("ap", 8).alias("ap_mirror"))
-    out = ap
-    for one in (ap_mirror, whole, inner):  # a row each
-        out = out.crossJoin(F.broadcast(one))
-    return out
+    hits = global_rank(rows.filter(y).select("r", "wr"), [F.col("r").asc()], "hit")  # positives are all in both, in the same order
+    mean = lambda c: F.round(F.coalesce(F.avg(F.col("hit") / F.col(c)), F.lit(0.0)), 8)
+    odd = 2 * F.col("hit") - F.col("n_")
+    middle = lambda c: F.avg(F.when(odd.between(0, 2), F.col(c)))  # noqa: E731  no buffer holds the positives
+    counted = hits.crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias("n_"))))
+    ap = counted.agg(mean("r").alias("ap"), mean("wr").alias("ap_mirror"), middle("r").alias("median_rank"), middle("wr").alias("mirror_median_rank"))
+    out = ap.crossJoin(F.broadcast(whole))
+    return out.select("ap", "ap_mirror", "excluded", "median_rank", f"over_{top}", f"unknown_{wide}", "mirror_median_rank")

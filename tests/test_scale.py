@@ -83,3 +83,13 @@ def test_context_meets_no_pairs_with_hands(spark):
     plan = plan_of("q19_context", spark)
     assert readings(registry.QUERIES["q19_context"](spark, SF)) == 1
     assert all("pair_id#" not in line for line in plan.splitlines() if "Join " in line)
+
+
+def test_mirror_ranks_pairs_in_one_sort(spark, monkeypatch):
+    from duoscope import runtime
+
+    written = []
+    monkeypatch.setattr(runtime, "materialize", lambda df, name, f=runtime.materialize: written.append(name) or f(df, name))
+    assert registry.QUERIES["mt10_mirror"](spark, SF).count() == 1
+    assert written == ["ranges", "ranges"]  # all pairs, then the positives
+    assert "median(" not in plan_of("mt10_mirror", spark)
