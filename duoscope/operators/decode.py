@@ -83,7 +83,7 @@ def two_kinds(c: Column, s: Column, softening: float = 1.0, slots: int = SLOTS)
 
 def by_level(p: Column, level: Column, most: int, slots: int = SLOTS) -> Column:
     """For hands in time order with strength levels 0 (strongest) to most (below 0: no candidate): that each is listed, which it is if true hands of stronger
-    levels at any time and of its own level earlier are fewer than `slots`."""
+    levels at any time and of its own level earlier are fewer than `slots`. Up to `slots` hands the others always are fewer, so p itself is the answer."""
     both = F.arrays_zip(p.alias("p"), level.alias("l"))
     only = lambda keep: F.transform(both, lambda r: F.when(keep(r["l"]), r["p"]).otherwise(0.0))
     out = F.transform(p, lambda x: F.lit(0.0))
@@ -91,7 +91,8 @@ def by_level(p: Column, level: Column, most: int, slots: int = SLOTS) -> Column:
         earlier = F.arrays_zip(p.alias("p"), level.alias("l"), prefixes(only(lambda l: l == k), slots).alias("e"))  # noqa: B023
         own = lambda stronger: F.transform(earlier, lambda r: F.when(r["l"] == k, r["p"] * _at_most([stronger, r["e"]], slots)))  # noqa: B023, E731
         out = F.zip_with(out, once(total(only(lambda l: (l >= 0) & (l < k)), slots), own), lambda a, x: F.coalesce(x, a))  # noqa: B023
-    return out
+    few = F.transform(both, lambda r: F.when(r["l"].between(0, most), r["p"]).otherwise(0.0))
+    return F.when(F.size(p) <= slots, few).otherwise(out)
 
 
 def once(value: Column, use) -> Column:

@@ -93,3 +93,9 @@ def test_mirror_ranks_pairs_in_one_sort(spark, monkeypatch):
     assert registry.QUERIES["mt10_mirror"](spark, SF).count() == 1
     assert written == ["ranges", "ranges"]  # all pairs, then the positives
     assert "median(" not in plan_of("mt10_mirror", spark)
+
+
+def test_timelines_are_dealt_by_actors(spark):
+    for name in ("q37_slot_decoder", "q38_level_decoder", "q41_redirected"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(pair_id#" not in plan and "hashpartitioning(a#" in plan, name
