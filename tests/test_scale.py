@@ -99,3 +99,8 @@ def test_timelines_are_dealt_by_actors(spark):
     for name in ("q37_slot_decoder", "q38_level_decoder", "q41_redirected"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(pair_id#" not in plan and "hashpartitioning(a#" in plan, name
+
+
+def test_dominance_makes_no_row_for_each_player(spark):
+    plan = plan_of("q17_dominance", spark)
+    assert "player#" not in plan.replace("players#", "") and len(windows_by(registry.QUERIES["q17_dominance"](spark, SF), "a")) == 1
