@@ -42,3 +42,27 @@ def test_quantiles_by_rank(spark):
     whole = group_quantiles(df, "x", [0.25]).first()["q_"][0]
     assert math.isclose(whole, np.quantile([x for _, x in rows if x is not None], 0.25), abs_tol=1e-12)
     assert group_quantiles(df.limit(0), "x", qs, ["g"]).count() == 0
+
+
+def test_quantiles_of_large_groups_are_exact(spark, monkeypatch):
+    from duoscope.operators import windows as W
+
+    monkeypatch.setattr(W, "LARGE_GROUP", 300)
+    monkeypatch.setattr(W, "LEAST_SEEN", 100)
+    rnd = random.Random(5)
+    rows = [(g, x) for g, n in ((None, 3000), ("a", 4000), ("b", 60)) for x in [rnd.choice([0.0, rnd.gauss(0, 1), -5.0]) for _ in range(n)]]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5).cache()
+    qs = (0.0, 0.25, 0.5, 0.999)
+    for margin in (0.1, 1e-9):  # with hardly any margin a place falls into a gap
+        monkeypatch.setattr(W, "MARGIN", margin)
+        got = {r["g"]: r["q_"] for r in W.group_quantiles(df, "x", qs, ["g"]).collect()}
+        assert got == {g: pytest.approx(np.quantile([x for k, x in rows if k == g], qs), abs=1e-12) for g in (None, "a", "b")}
+        assert W.group_quantiles(df, "x", [0.25]).first()["q_"] == pytest.approx(np.quantile([x for _, x in rows], [0.25]), abs=1e-12)
+
+
+def test_a_place_is_found_without_a_join_by_rank(spark):
+    """A join by rank made Spark send every rank to all tasks where the written ranks were small files."""
+    df = spark.range(5000).selectExpr("id % 2 AS g", "CAST(id % 7 AS DOUBLE) AS x")
+    plan = group_quantiles(df, "x", [0.5], ["g"])
+    assert "rank_" not in plan._jdf.queryExecution().toString()
+    assert {r["g"]: r["q_"] for r in plan.collect()} == {0: [3.0], 1: [3.0]}
