@@ -104,3 +104,18 @@ def test_timelines_are_dealt_by_actors(spark):
 def test_dominance_makes_no_row_for_each_player(spark):
     plan = plan_of("q17_dominance", spark)
     assert "player#" not in plan.replace("players#", "") and len(windows_by(registry.QUERIES["q17_dominance"](spark, SF), "a")) == 1
+
+
+def test_contrasts_are_compiled(spark):
+    """The JVM only interprets methods of over 8,000 bytes; the contrasts' sums, terms and aggregates were one such."""
+    import re
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = registry.QUERIES["q14_presence_contrast"](spark, SF)
+        text = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) <= 8000
