@@ -276,3 +276,16 @@ def test_pairs_of_seats_need_no_written_seats(spark, monkeypatch, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     by_hand = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and ("o_orderkey" in x or "l_orderkey" in x or "hand#" in x)]
     assert len(by_hand) <= 4
+
+
+def test_all_learners_of_a_fold_score_a_row_where_it_is_read(spark):
+    from duoscope.operators import models as L
+    from duoscope.plans import registry
+
+    df = spark.range(400).selectExpr("id", "CAST(id % 20 AS STRING) AS g", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 7 > 3 AS DOUBLE) AS y")
+    learners = {"one": L.binary("y", iterations=2, depth=2), "two": L.multiclass("y", trees=3, depth=2)}
+    got = {r["id"]: (r["fold"], r["one"][1], r["two"][1]) for r in L.cross_fit_all(df, ["x"], "y", "g", learners).collect()}
+    want = [{r["id"]: (r["fold"], r["score"]) for r in L.cross_fit(df, ["x"], "y", "g", x).collect()} for x in learners.values()]
+    assert len(got) == 400 and all(got[i][:2] == want[0][i] and abs(got[i][2] - want[1][i][1]) < 0.05 for i in got)
+    plan = registry.QUERIES["md09_family"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Window [", "Aggregate [", "Generate "))
